@@ -311,3 +311,131 @@ def q_f1_ranking(spark, sf_dir):
     rk = reports.f1_ranking(rep, ["split"]).select("split", "class", round_d("f1_score").alias("f1_score"),
                                                     F.col("rank"))
     return rk.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+# ---- CMP: a parameter sweep scored in one grouped job ---------------------------------
+# Candidate partitions of the flows (stand-ins for k-means / DBSCAN / hierarchical
+# outputs) are generated per row from a parameter grid; all of them are scored by
+# one contingency aggregation grouped by candidate, then compared.
+
+# The sweep grid (cid, algo, k, eps index e, min_samples, linkage, offset).
+SWEEP = ([(i, "KMeans", k, 0, 0, "", 0) for i, k in enumerate([2, 3, 4, 6, 12])]
+         + [(5 + 2 * (e - 1) + j, "DBSCAN", 0, e, ms, "", 0)
+            for e in (1, 2, 3) for j, ms in enumerate((10, 20))]
+         + [(11 + 3 * li + ki, "Hierarchical", k, 0, 0, lk, li)
+            for li, lk in enumerate(["ward", "average", "complete"]) for ki, k in enumerate([3, 4, 6])])
+EXT_COLS = ["ARI_type", "AMI_type", "V_type", "ARI_label", "AMI_label", "V_label"]
+
+
+def _sweep_label():
+    c, k, e, ms, off = (F.col("cluster"), F.col("c.k"), F.col("c.e"), F.col("c.ms"), F.col("c.off"))
+    return (F.when(F.col("c.algo") == "KMeans", F.pmod(c, k))
+            .when(F.col("c.algo") == "DBSCAN",
+                  F.when(F.col("flow_id") % ms < e, F.lit(-1)).otherwise(F.pmod(c, e + 6)))
+            .otherwise(F.pmod(c + off, k)))
+
+
+def sweep_tables(spark, sf_dir):
+    """(kmeans, dbscan, hierarchical) metric tables of the candidate sweep."""
+    df = flows(spark, sf_dir).select("flow_id", "cluster", "type", "label")
+    grid = F.array(*[F.struct(F.lit(cid).alias("cid"), F.lit(a).alias("algo"), F.lit(k).alias("k"),
+                              F.lit(e).alias("e"), F.lit(ms).alias("ms"), F.lit(off).alias("off"))
+                     for cid, a, k, e, ms, _, off in SWEEP])
+    lab = df.select("flow_id", "cluster", "type", "label", F.explode(grid).alias("c")).select(
+        F.col("c.cid").alias("cid"), "type", "label", _sweep_label().alias("lab"))
+    scores = external.external_scores(_targets(lab, "lab"), "y", "lab", ["cid", "target"])
+    wide = scores.groupBy("cid").agg(*[
+        F.max(F.when(F.col("target") == t, F.col(m))).alias(f"{m}_{t}")
+        for t in ("type", "label") for m in ("ARI", "AMI", "V")])
+    ns = external.noise_summary(lab, "lab", ["cid"]).drop("n_points")
+    params = spark.createDataFrame([(cid, a, k, e, ms, lk) for cid, a, k, e, ms, lk, _ in SWEEP],
+                                   "cid int, algo string, k int, e int, min_samples int, linkage string")
+    t = params.join(wide, "cid").join(ns, "cid")
+    t = t.withColumns({c: round_d(c) for c in EXT_COLS + ["noise_ratio"]})
+    km = t.where("algo = 'KMeans'").select("algo", compare.kmeans_param(F.col("k")).alias("param"), "k",
+                                           "noise_ratio", *EXT_COLS)
+    db = t.where("algo = 'DBSCAN'").select(
+        "algo", compare.dbscan_param(F.col("e") * 0.5, F.col("min_samples")).alias("param"),
+        (F.col("e") * 0.5).alias("eps"), "min_samples", "n_clusters", "noise_ratio",
+        *[F.col(c).alias(f"{c}_all") for c in EXT_COLS])
+    hi = t.where("algo = 'Hierarchical'").select(
+        "algo", compare.linkage_param(F.col("linkage"), F.col("k")).alias("param"), "linkage", "k",
+        "n_clusters", "noise_ratio", *EXT_COLS)
+    return km, db, hi
+
+
+def _sweep_sql(body: str) -> str:
+    vals = ", ".join(f"({cid}, '{a}', {k}, {e}, {ms}, '{lk}', {off})" for cid, a, k, e, ms, lk, off in SWEEP)
+    lab = ("select c.cid, f.type, cast(f.label as varchar) as lbl, case c.algo "
+           "when 'KMeans' then ((f.cluster % c.k) + c.k) % c.k "
+           "when 'DBSCAN' then case when f.flow_id % c.ms < c.e then -1 "
+           "else ((f.cluster % (c.e + 6)) + c.e + 6) % (c.e + 6) end "
+           "else ((f.cluster + c.off) % c.k + c.k) % c.k end as lab from flows f cross join cands c")
+    ct = ("select cid, target, u, v, count(*) as n from ("
+          "select cid, 'type' as target, type as u, cast(lab as varchar) as v from lab union all "
+          "select cid, 'label' as target, lbl as u, cast(lab as varchar) as v from lab) group by all")
+    wide = ("select cid, " + ", ".join(
+        f"round(max(case when target = '{t}' then {m} end), 9) as {m}_{t}"
+        for t in ("type", "label") for m in ("ARI", "AMI", "V")) + " from scores group by cid")
+    ns = ("select cid, round(avg(case when lab = -1 then 1.0 else 0.0 end), 9) as noise_ratio, "
+          "count(distinct case when lab <> -1 then lab end) as n_clusters from lab group by cid")
+    ext = ", ".join(EXT_COLS)
+    km = (f"select 'KMeans' as algo, printf('k=%d', k) as param, k, noise_ratio, {ext} "
+          f"from cands join wide using (cid) join ns using (cid) where algo = 'KMeans'")
+    db = ("select 'DBSCAN' as algo, printf('eps=%.4f, min_samples=%d', e * 0.5, ms) as param, "
+          "cast(e * 0.5 as double) as eps, ms as min_samples, n_clusters, noise_ratio, "
+          + ", ".join(f"{c} as {c}_all" for c in EXT_COLS) +
+          " from cands join wide using (cid) join ns using (cid) where algo = 'DBSCAN'")
+    hi = (f"select 'Hierarchical' as algo, printf('linkage=%s, k=%d', linkage, k) as param, linkage, k, "
+          f"n_clusters, noise_ratio, {ext} from cands join wide using (cid) join ns using (cid) "
+          f"where algo = 'Hierarchical'")
+    return with_views(body, ("cands", f"select * from (values {vals}) v(cid, algo, k, e, ms, linkage, off)"),
+                      ("lab", lab), ("ct", ct), *external_ctes("ct", ["cid", "target"]), ("wide", wide),
+                      ("ns", ns), ("km", km), ("db", db), ("hi", hi),
+                      ("um", "select * from km union all by name select * from db "
+                             "union all by name select * from hi"))
+
+
+@query("union_metrics", _sweep_sql("select * from um"))
+def q_union_metrics(spark, sf_dir):
+    return compare.union_metrics(*sweep_tables(spark, sf_dir))
+
+
+_BEST_SQL = ("select * exclude (rk) from (select *, row_number() over (partition by algo order by "
+             "coalesce(AMI_type, AMI_type_all) desc nulls last, param asc) as rk from um) where rk = 1")
+
+
+@query("best_per_algo", _sweep_sql(_BEST_SQL))
+def q_best_per_algo(spark, sf_dir):
+    return compare.best_per_algo(compare.union_metrics(*sweep_tables(spark, sf_dir)))
+
+
+@query("compare_best", _sweep_sql(
+    "select algo, param, concat(algo, chr(10), param) as label, "
+    "coalesce(AMI_type, AMI_type_all) as AMI_type_comparavel, coalesce(V_type, V_type_all) as V_type_comparavel, "
+    "coalesce(AMI_label, AMI_label_all) as AMI_label_comparavel, "
+    "coalesce(V_label, V_label_all) as V_label_comparavel, noise_ratio from (" + _BEST_SQL + ")"))
+def q_compare_best(spark, sf_dir):
+    best = compare.with_comparable(compare.best_per_algo(compare.union_metrics(*sweep_tables(spark, sf_dir))))
+    return best.select("algo", "param", compare.display_label().alias("label"),
+                       *[f"{c}_comparavel" for c in compare.COMPARABLE], "noise_ratio")
+
+
+@query("leaderboard", _sweep_sql(
+    "select algo, param, coalesce(AMI_type, AMI_type_all) as AMI_type_comparavel from um "
+    "order by AMI_type_comparavel desc nulls last, param asc limit 10"))
+def q_leaderboard(spark, sf_dir):
+    um = compare.with_comparable(compare.union_metrics(*sweep_tables(spark, sf_dir)))
+    return compare.leaderboard(um, "AMI_type_comparavel").select("algo", "param", "AMI_type_comparavel")
+
+
+_CURVE_METRICS = ["ARI_type", "AMI_type", "V_type", "AMI_label", "noise_ratio"]
+
+
+@query("metric_curves", _sweep_sql(
+    "select k, metric, value from (unpivot (select k, " + ", ".join(f"cast({m} as double) as {m}"
+                                                                     for m in _CURVE_METRICS) +
+    " from km) on " + ", ".join(_CURVE_METRICS) + " into name metric value value)"))
+def q_metric_curves(spark, sf_dir):
+    km, _, _ = sweep_tables(spark, sf_dir)
+    return compare.metric_curves(km, "k", _CURVE_METRICS)
