@@ -1,50 +1,80 @@
 """Connected components on an edge DataFrame (CLU-10).
 
-Hash-min label propagation with pointer jumping: each round every vertex
-takes the smallest label among itself and its neighbours, then jumps to the
-label of its label.  Labels converge to the smallest vertex id of each
-(weakly) connected component, typically in O(log n) rounds.  Every
-``checkpoint_every`` rounds the label table is checkpointed to the cluster's
-shared ``spark.checkpoint.dir`` (reliable, survives executor loss) to cut
-lineage.  Per-round work is one join + one grouped min over the edges
-(map-side partial mins absorb hub vertices) and one join over vertices.
+Root hooking on a contracting graph, all DataFrame operations:
+1. Edges are stored once as (a, b) with a < b.
+2. Hook: every endpoint b takes as parent the smallest neighbour a
+   (``groupBy(b).min(a)``; map-side partial mins absorb hub vertices).
+   Parents are always smaller, so the parent links form a forest.
+3. Shortcut: pointer jumping p(v) <- p(p(v)) on the (shrinking) vertex set
+   until every vertex points at its root.
+4. Contract: edges become (p(a), p(b)) between roots, self loops and
+   duplicates dropped; every original vertex's label is composed with p.
+Only local-minimum roots survive a round, so the edge table shrinks
+geometrically; the loop ends when no edge is left.  The component id is
+the smallest vertex id of the component.
+
+Each round's tables are written to the cluster's shared
+``spark.checkpoint.dir`` and read back: lineage stays one round deep and a
+lost executor only recomputes the current round.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.session import checkpoint_dir
 
 
+class _Store:
+    def __init__(self, spark, prefix: str):
+        self.spark = spark
+        self.base = f"{checkpoint_dir(spark)}/{prefix}-{uuid.uuid4().hex[:12]}"
+        self.n = 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.base}/t{self.n}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+
+def _shortcut(p: DataFrame, store: _Store, max_jumps: int = 64) -> DataFrame:
+    for _ in range(max_jumps):
+        nxt = store.save(p.alias("x").join(p.alias("y"), F.col("x.p") == F.col("y.v"), "left")
+                         .select(F.col("x.v").alias("v"), F.coalesce(F.col("y.p"), F.col("x.p")).alias("p")))
+        moved = nxt.join(p.withColumnRenamed("p", "old"), "v").where(F.col("p") != F.col("old")).limit(1).count()
+        p = nxt
+        if moved == 0:
+            break
+    return p
+
+
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, src: str = "src",
-                         dst: str = "dst", vid: str = "id", checkpoint_every: int = 2,
-                         max_rounds: int = 200) -> DataFrame:
-    """(id, component) where component = min vertex id of the component."""
+                         dst: str = "dst", vid: str = "id", max_rounds: int = 200) -> DataFrame:
+    """(id, component) where component = min vertex id of its component."""
     spark = edges.sparkSession
-    checkpoint_dir(spark)
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where(F.col("a") != F.col("b"))
-    e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().cache()
+    store = _Store(spark, "cc")
+    e = edges.select(F.col(src).alias("a0"), F.col(dst).alias("b0")).where(F.col("a0") != F.col("b0"))
+    e = store.save(e.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct())
     if vertices is None:
-        vertices = e.select(F.col("a").alias(vid)).distinct()
-    labels = vertices.select(F.col(vid).alias("v")).distinct().withColumn("l", F.col("v"))
-    labels = labels.checkpoint()
-    for rnd in range(1, max_rounds + 1):
-        nbr = (e.join(labels.withColumnRenamed("v", "a"), "a")
-               .groupBy(F.col("b").alias("v")).agg(F.min("l").alias("nl")))
-        step = (labels.join(nbr, "v", "left")
-                .select("v", F.least("l", F.coalesce("nl", "l")).alias("l")))
-        jump = (step.alias("s").join(step.alias("t"), F.col("s.l") == F.col("t.v"), "left")
-                .select(F.col("s.v").alias("v"), F.least(F.col("s.l"), F.coalesce(F.col("t.l"), F.col("s.l")))
-                        .alias("l")))
-        jump = jump.checkpoint() if rnd % checkpoint_every == 0 else jump.cache()
-        changed = (jump.join(labels.withColumnRenamed("l", "old"), "v")
-                   .where(F.col("l") != F.col("old")).limit(1).count())
-        labels = jump
-        if changed == 0:
+        vertices = e.select(F.col("a").alias(vid)).union(e.select(F.col("b").alias(vid)))
+    labels = store.save(vertices.select(F.col(vid).alias("v")).distinct().withColumn("l", F.col("v")))
+    for _ in range(max_rounds):
+        if e.limit(1).count() == 0:
             break
-    e.unpersist()
+        hook = e.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("h"))
+        nodes = e.select(F.col("a").alias("v")).union(e.select(F.col("b").alias("v"))).distinct()
+        p = store.save(nodes.join(hook, "v", "left").select("v", F.coalesce("h", "v").alias("p")))
+        p = _shortcut(p, store)
+        pa = p.select(F.col("v").alias("a"), F.col("p").alias("pa"))
+        pb = p.select(F.col("v").alias("b"), F.col("p").alias("pb"))
+        e = store.save(e.join(pa, "a").join(pb, "b").where(F.col("pa") != F.col("pb"))
+                       .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        labels = store.save(labels.join(p.select(F.col("v").alias("l"), F.col("p").alias("np")), "l", "left")
+                            .select("v", F.coalesce("np", "l").alias("l")))
     return labels.select(F.col("v").alias(vid), F.col("l").alias("component"))
 
 

@@ -30,12 +30,24 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def ship_code() -> None:
+    """Pickle this package's functions by value, so Python workers need no
+    installed copy of it (whatever their working directory or host)."""
+    import flowlens
+    from pyspark import cloudpickle
+    try:
+        cloudpickle.register_pickle_by_value(flowlens)
+    except ValueError:
+        pass
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
     used as is.  Only when it is unset (local tests) do we create one.
     """
+    ship_code()
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
