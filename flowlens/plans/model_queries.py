@@ -255,3 +255,33 @@ def q_calinski_harabasz(spark, sf_dir):
     v = vectors(spark, sf_dir)
     s = internal.calinski_harabasz(v, "vec", "label", 64)
     return spark.createDataFrame([(None if s is None else round(s, 6),)], "calinski_harabasz double")
+
+
+# ---- SUP-1..3, 7; SPL-4 ------------------------------------------------------------
+from flowlens.operators import classify  # noqa: E402
+
+FOREST = dict(num_trees=20, max_depth=12, seed=10000)
+SUP_TARGETS = ["cluster", "type", "label"]
+SUP_EXCLUDE = ["flow_id", "cluster", "y_pred", "ts"]
+
+
+@query("forest_metrics")
+def q_forest_metrics(spark, sf_dir):
+    """Forests for cluster / type / label fit on train, scored on valid and test (SUP-7)."""
+    df = flows(spark, sf_dir)
+    pre = classify.SupervisedPreprocessor(exclude=SUP_EXCLUDE).fit(df.where("split = 'train'"))
+    preds = classify.evaluate_targets(pre, df, SUP_TARGETS, **FOREST)
+    gm = classify.stacked_metrics(preds)
+    return gm.withColumn("target", F.when(F.col("target") == "cluster", "cluster_kmeans30")
+                         .otherwise(F.col("target")))
+
+
+@query("grouped_cv")
+def q_grouped_cv(spark, sf_dir):
+    """Grouped 3-fold CV macro-F1 of the type forest on the train split (SPL-4)."""
+    df = flows(spark, sf_dir).where("split = 'train'")
+    folded = splits.group_folds(df, "type", k=3, seed=10000)
+    pre = classify.SupervisedPreprocessor(exclude=SUP_EXCLUDE + ["grp", "fold"]).fit(folded)
+    mean, std, scores = classify.grouped_cv(pre.transform(folded), "type", k=3, **FOREST)
+    return spark.createDataFrame([(float(mean), float(std), len(scores))],
+                                 "macroF1_mean double, macroF1_std double, n_folds int")
