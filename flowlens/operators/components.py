@@ -20,28 +20,13 @@ lost executor only recomputes the current round.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.session import checkpoint_dir
-
-
-class _Store:
-    def __init__(self, spark, prefix: str):
-        self.spark = spark
-        self.base = f"{checkpoint_dir(spark)}/{prefix}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/t{self.n}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+from flowlens.operators.store import TableStore
 
 
-def _shortcut(p: DataFrame, store: _Store, max_jumps: int = 64) -> DataFrame:
+def _shortcut(p: DataFrame, store: TableStore, max_jumps: int = 64) -> DataFrame:
     for _ in range(max_jumps):
         nxt = store.save(p.alias("x").join(p.alias("y"), F.col("x.p") == F.col("y.v"), "left")
                          .select(F.col("x.v").alias("v"), F.coalesce(F.col("y.p"), F.col("x.p")).alias("p")))
@@ -56,7 +41,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sr
                          dst: str = "dst", vid: str = "id", max_rounds: int = 200) -> DataFrame:
     """(id, component) where component = min vertex id of its component."""
     spark = edges.sparkSession
-    store = _Store(spark, "cc")
+    store = TableStore(spark, "cc")
     e = edges.select(F.col(src).alias("a0"), F.col(dst).alias("b0")).where(F.col("a0") != F.col("b0"))
     e = store.save(e.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct())
     if vertices is None:
