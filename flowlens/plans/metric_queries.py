@@ -439,3 +439,9 @@ _CURVE_METRICS = ["ARI_type", "AMI_type", "V_type", "AMI_label", "noise_ratio"]
 def q_metric_curves(spark, sf_dir):
     km, _, _ = sweep_tables(spark, sf_dir)
     return compare.metric_curves(km, "k", _CURVE_METRICS)
+
+
+@query("permutation_test")
+def q_permutation_test(spark, sf_dir):
+    """Observed AMI / V of cluster vs type against 99 label shuffles (EVA-11)."""
+    return external.permutation_test(flows(spark, sf_dir), "type", "cluster", replicates=99, seed=42)

@@ -285,3 +285,12 @@ def q_grouped_cv(spark, sf_dir):
     mean, std, scores = classify.grouped_cv(pre.transform(folded), "type", k=3, **FOREST)
     return spark.createDataFrame([(float(mean), float(std), len(scores))],
                                  "macroF1_mean double, macroF1_std double, n_folds int")
+
+
+@query("kmeans_sweep")
+def q_kmeans_sweep(spark, sf_dir):
+    """k = 2..6 on the flow embedding, one metric row per k (CLU-4, EVA-1..10)."""
+    from flowlens.plans.exploratory import kmeans_sweep
+    df, emb = _embedder(spark, sf_dir)
+    z = emb.transform(df, keep=("flow_id", "type", "label"))
+    return kmeans_sweep(z, range(2, 7), n_init=2, silhouette_n=1000)
