@@ -294,3 +294,13 @@ def q_kmeans_sweep(spark, sf_dir):
     df, emb = _embedder(spark, sf_dir)
     z = emb.transform(df, keep=("flow_id", "type", "label"))
     return kmeans_sweep(z, range(2, 7), n_init=2, silhouette_n=1000)
+
+
+@query("two_phase_external")
+def q_two_phase_external(spark, sf_dir):
+    """End-to-end unsupervised phase (own split, embedding, k-means k=12) and
+    its external scores per split x target (N2 section 4)."""
+    from flowlens.plans import two_phase
+    art, _, _ = two_phase.unsupervised(flows(spark, sf_dir), k=12, n_components=10, n_init=2,
+                                       exclude=("cluster", "y_pred"))
+    return two_phase.external_by_split(art)

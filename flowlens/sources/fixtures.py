@@ -32,7 +32,12 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``cluster``, ``split`` and ``y_pred`` are stand-ins used only by the
     report operators; the split / cluster operators compute their own.
     """
-    e = read_table(spark, f"{sf_dir}/events.parquet").select(
+    return flows_from_events(read_table(spark, f"{sf_dir}/events.parquet"))
+
+
+def flows_from_events(events: DataFrame) -> DataFrame:
+    """Column-only derivation, so it also runs on a streaming ``events`` source."""
+    e = events.select(
         "event_id", "ts", "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"))
     k3 = _mod(F.col("k"), 3)
