@@ -128,3 +128,26 @@ def test_embedder_shapes(spark):
     assert Z.shape[1] == 6
     tr = np.array([r.emb for r in emb.transform(df.where("split = 'train'")).collect()])
     assert np.allclose(tr.mean(0), 0, atol=1e-8)
+
+
+def test_csv_sink_round_trip_and_typed_columns(spark, tmp_path):
+    from flowlens.functions.columns import split_columns
+    from flowlens.sources.io import write_csv
+    from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+    df = spark.createDataFrame([(1, "a", 0.5), (2, None, 1.5)], "id long, s string, x double")
+    write_csv(df, str(tmp_path / "t.csv"))
+    schema = StructType([StructField("id", LongType()), StructField("s", StringType()),
+                         StructField("x", DoubleType())])
+    back = read_table(spark, str(tmp_path / "t.csv"), schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    num, cat = split_columns(flows(spark, SF_SMALL), exclude=("flow_id",))
+    assert "duration" in num and "src_bytes" in num and "ts" not in num + cat
+    assert {"src_ip", "dst_ip", "proto", "service", "type"} <= set(cat)
+
+
+def test_internal_scores_degenerate_guard(spark):
+    from flowlens.operators import internal
+    one = spark.createDataFrame([(i, [float(i), 0.0], 0) for i in range(5)], "id long, v array<double>, c int")
+    assert internal.silhouette(one, "v", "c", "id", 5) is None
+    assert internal.davies_bouldin(one, "v", "c", 2) is None
+    assert internal.calinski_harabasz(one, "v", "c", 2) is None
