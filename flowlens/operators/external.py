@@ -48,7 +48,7 @@ def _marginals(ct: DataFrame, group, side: str) -> DataFrame:
     return ct.groupBy(*group, side).agg(F.sum("n").alias("m"))
 
 
-def emi(ct: DataFrame, group=()) -> DataFrame:
+def emi(ct: DataFrame, group=(), written: bool = False) -> DataFrame:
     """Expected mutual information per group under the permutation model.
 
     Marginals are first collapsed to distinct values with multiplicity, so
@@ -58,6 +58,8 @@ def emi(ct: DataFrame, group=()) -> DataFrame:
     1e-16 of the sum, so the result equals the full sum in double precision
     while the term count stays O(sqrt(N)) per pair instead of O(N).
     """
+    if not written:
+        ct = materialize(ct)
     ct, g = _grouped(ct, group)
     tot = ct.groupBy(*g).agg(F.sum("n").cast("double").alias("N"),
                              F.countDistinct("u").alias("R"), F.countDistinct("v").alias("C"))
@@ -86,8 +88,18 @@ def emi(ct: DataFrame, group=()) -> DataFrame:
     return _ungrouped(out, group)
 
 
-def scores_from_contingency(ct: DataFrame, group=(), with_emi: bool = True) -> DataFrame:
+def materialize(ct: DataFrame) -> DataFrame:
+    """Write an aggregate-sized table once and read it back: every later
+    reference is a parquet leaf instead of a copy of the upstream lineage."""
+    from flowlens.operators.store import materialize as _write
+    return _write(ct, "ct")
+
+
+def scores_from_contingency(ct: DataFrame, group=(), with_emi: bool = True,
+                            written: bool = False) -> DataFrame:
     """ARI, AMI, V (and MI, entropies) per group from a contingency table."""
+    if not written:
+        ct = materialize(ct)
     ct, g = _grouped(ct, group)
     a = _marginals(ct, g, "u")
     b = _marginals(ct, g, "v")
@@ -120,7 +132,7 @@ def scores_from_contingency(ct: DataFrame, group=(), with_emi: bool = True) -> D
     com = F.when(F.col("H_v") == 0, F.lit(1.0)).otherwise(F.col("MI") / F.col("H_v"))
     t = t.withColumn("V", F.when(hom + com == 0, F.lit(0.0)).otherwise(2.0 * hom * com / (hom + com)))
     if with_emi:
-        t = t.join(emi(ct, g), g)
+        t = t.join(emi(ct, g, written=True), g)
         den = (F.col("H_u") + F.col("H_v")) / 2.0 - F.col("emi")
         den = F.when(den < 0, F.least(den, F.lit(-EPS64))).otherwise(F.greatest(den, F.lit(EPS64)))
         t = t.withColumn("AMI", F.when((F.col("R") == 1) & (F.col("C") == 1), F.lit(1.0))

@@ -43,3 +43,13 @@ def global_rank(df: DataFrame, order_cols, out: str = "rank", partitions: int |
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return (local.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
             .withColumn(out, F.col("_lr") + F.col("_off")).drop("_pid", "_lr", "_off"))
+
+
+def materialize(df: DataFrame, prefix: str = "tmp") -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    Used for intermediates that many later jobs read (features, design
+    matrices, embeddings): each job then plans a parquet scan instead of the
+    whole upstream lineage, which keeps plans, driver memory and recomputation
+    small, and a lost executor does not recompute the upstream."""
+    return TableStore(df.sparkSession, prefix).save(df)

@@ -111,6 +111,13 @@ def _embedder(spark, sf_dir, k=10):
     return df, reduce.FlowEmbedder(k=k).fit(df.where(F.col("split") == "train"))
 
 
+def _embedded(spark, sf_dir, keep=("flow_id", "split", "type", "label"), k=10):
+    """Embedding of every flow, written once (many jobs read it)."""
+    from flowlens.operators.store import materialize
+    df, emb = _embedder(spark, sf_dir, k)
+    return df, emb, materialize(emb.transform(df, keep=keep), "emb")
+
+
 @query("embed_flows")
 def q_embed_flows(spark, sf_dir):
     """Flow embedding fit on the train split, applied to every flow (ENC-4/6)."""
@@ -204,8 +211,7 @@ def q_kmeans_lloyd(spark, sf_dir):
 @query("kmeans_fit")
 def q_kmeans_fit(spark, sf_dir):
     """k-means (k=8, best of 3 inits) on the flow embedding; labels for every flow (CLU-1/2)."""
-    df, emb = _embedder(spark, sf_dir)
-    z = emb.transform(df, keep=("flow_id", "split", "type")).cache()
+    df, emb, z = _embedded(spark, sf_dir)
     model, _ = kmeans.fit_kmeans(z.where("split = 'train'"), "emb", k=8, n_init=3)
     return kmeans.assign(z, "emb", kmeans.centers_of(model), "cluster_kmeans").drop("emb")
 
@@ -291,8 +297,7 @@ def q_grouped_cv(spark, sf_dir):
 def q_kmeans_sweep(spark, sf_dir):
     """k = 2..6 on the flow embedding, one metric row per k (CLU-4, EVA-1..10)."""
     from flowlens.plans.exploratory import kmeans_sweep
-    df, emb = _embedder(spark, sf_dir)
-    z = emb.transform(df, keep=("flow_id", "type", "label"))
+    _, _, z = _embedded(spark, sf_dir, keep=("flow_id", "type", "label"))
     return kmeans_sweep(z, range(2, 7), n_init=2, silhouette_n=1000)
 
 

@@ -21,11 +21,12 @@ from flowlens.sources.io import require_columns, write_csv, write_parquet
 def unsupervised(df: DataFrame, k: int = 30, n_components: int = 50, n_init: int = 10, seed: int = 42,
                  id_col: str = "flow_id", exclude=()) -> tuple[DataFrame, object, object]:
     """Rows with ``split`` and ``cluster_kmeans30``; fitted embedder and k-means."""
+    from flowlens.operators.store import materialize
     require_columns(df)
-    sp = splits.three_way_split(df.drop("split"), id_col=id_col).drop("grp").cache()
+    sp = materialize(splits.three_way_split(df.drop("split"), id_col=id_col).drop("grp"), "split")
     train = sp.where(F.col("split") == "train")
     emb = reduce.FlowEmbedder(k=n_components, exclude=(id_col, *exclude)).fit(train)
-    z = emb.transform(sp, keep=(id_col, "split")).cache()
+    z = materialize(emb.transform(sp, keep=(id_col, "split")), "emb")
     model, _ = kmeans.fit_kmeans(z.where(F.col("split") == "train"), "emb", k, n_init=n_init, seed=seed)
     centers = kmeans.centers_of(model)
     lab = kmeans.assign(z, "emb", centers, "cluster_kmeans30").select(id_col, "cluster_kmeans30")
@@ -71,7 +72,7 @@ def supervised(art: DataFrame, targets=("cluster_kmeans30", "type", "label"), id
                exclude=(), **forest_kw) -> dict[str, DataFrame]:
     pre = classify.SupervisedPreprocessor(exclude=(id_col, "grp", *exclude)).fit(
         art.where(F.col("split") == "train"))
-    preds = classify.evaluate_targets(pre, art, list(targets), **forest_kw).cache()
+    preds = classify.evaluate_targets(pre, art, list(targets), **forest_kw)
     conf = reports.confusion(preds, "y", "p", ["target", "split"])
     return {
         "metricas_globais_supervisionadas": reports.global_metrics(conf, ["target", "split"]),
