@@ -151,3 +151,35 @@ def test_internal_scores_degenerate_guard(spark):
     assert internal.silhouette(one, "v", "c", "id", 5) is None
     assert internal.davies_bouldin(one, "v", "c", 2) is None
     assert internal.calinski_harabasz(one, "v", "c", 2) is None
+
+
+def test_dbscan_duplicates_equal_weighted(spark):
+    """A hot duplicate group gives the same labels as the plain definition."""
+    rng = np.random.default_rng(5)
+    pts = [(i, [float(x) for x in rng.normal(size=2)]) for i in range(60)]
+    pts += [(100 + i, [3.0, 3.0]) for i in range(40)]  # one hot vector, 40 copies
+    pts += [(200, [3.2, 3.0]), (201, [9.0, 9.0])]
+    df = spark.createDataFrame(pts, "id long, v array<double>")
+    got = {r.id: r.cluster for r in dbscan.dbscan(df, "v", "id", 0.5, 5).collect()}
+    P = np.array([p for _, p in pts]); ids = [i for i, _ in pts]
+    D = np.sqrt(((P[:, None] - P[None]) ** 2).sum(2)) <= 0.5
+    core = D.sum(1) >= 5
+    lab = {}
+    for a in range(len(P)):
+        if core[a] and ids[a] not in lab:
+            stack, comp = [a], []
+            seen = {a}
+            while stack:
+                x = stack.pop(); comp.append(x)
+                for y in np.nonzero(D[x] & core)[0]:
+                    if y not in seen:
+                        seen.add(y); stack.append(y)
+            cid = min(ids[x] for x in comp)
+            for x in comp:
+                lab[ids[x]] = cid
+    for a in range(len(P)):
+        if not core[a]:
+            near = [lab[ids[y]] for y in np.nonzero(D[a] & core)[0]]
+            lab[ids[a]] = min(near) if near else -1
+    assert got == lab
+    assert got[100] == 100 and got[200] == 100 and got[201] == -1
