@@ -183,3 +183,18 @@ def test_dbscan_duplicates_equal_weighted(spark):
             lab[ids[a]] = min(near) if near else -1
     assert got == lab
     assert got[100] == 100 and got[200] == 100 and got[201] == -1
+
+
+def test_knn_with_hot_duplicate_group_is_exact(spark):
+    rng = np.random.default_rng(9)
+    pts = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(80)]
+    pts += [(1000 + i, [0.1, 0.1, 0.1]) for i in range(30)]  # hot vector
+    pts += [(2000 + i, [0.5, 0.5, 0.5]) for i in range(3)]   # small duplicate group
+    df = spark.createDataFrame(pts, "id long, vec array<double>")
+    X, ids = np.array([p for _, p in pts]), [i for i, _ in pts]
+    for include_self in (True, False):
+        got = {}
+        for r in neighbors.knn(df, "vec", "id", 5, include_self=include_self, n_pivots=5, block=16).collect():
+            got.setdefault(r.i, []).append((r.rank, r.j))
+        exp = _brute_knn(X, ids, 5, include_self)
+        assert {i: [j for _, j in sorted(v_)] for i, v_ in got.items()} == exp
