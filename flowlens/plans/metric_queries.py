@@ -179,7 +179,7 @@ def q_sizes_by_split(spark, sf_dir):
 
 
 @query("size_histogram", with_views(
-    "select b.i as bin, round(lo + b.i * (hi - lo) / 15, 9) as bin_lo, "
+    "select cast(b.i as integer) as bin, round(lo + b.i * (hi - lo) / 15, 9) as bin_lo, "
     "round(lo + (b.i + 1) * (hi - lo) / 15, 9) as bin_hi, "
     "cast(count(s.x) as bigint) as n from "
     "(select case when min(size) = max(size) then min(size) - 0.5 else min(size) end::double as lo, "
