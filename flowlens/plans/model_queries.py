@@ -309,3 +309,12 @@ def q_two_phase_external(spark, sf_dir):
     art, _, _ = two_phase.unsupervised(flows(spark, sf_dir), k=12, n_components=10, n_init=2,
                                        exclude=("cluster", "y_pred"))
     return two_phase.external_by_split(art)
+
+
+@query("dbscan_sweep")
+def q_dbscan_sweep(spark, sf_dir):
+    """eps proposals from the 10-distance curve, DBSCAN per proposal on the flow
+    embedding, one metric row each with _all / _no_noise scores (CLU-13, EVA-10)."""
+    from flowlens.plans.exploratory import dbscan_sweep
+    _, _, z = _embedded(spark, sf_dir, keep=("flow_id", "type", "label"))
+    return dbscan_sweep(z, min_samples=(10,), silhouette_n=1000)
