@@ -98,8 +98,9 @@ class ModeImputer:
     """Most-frequent fill, lowest value wins ties (PRJ-11).
 
     All columns are unpivoted into one (column, value) count, so the table is
-    shuffled once with map-side partial counts; no group holds a column's
-    distinct values in one buffer.
+    shuffled once with map-side partial counts; the winner per column is a
+    grouped ``min_by`` aggregate (also partial), so no task holds a column's
+    distinct values.
     """
 
     def __init__(self, cols):
@@ -107,13 +108,11 @@ class ModeImputer:
         self.values: dict[str, str | None] = {}
 
     def fit(self, df: DataFrame) -> "ModeImputer":
-        from pyspark.sql import Window
         long = df.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in self.cols
         ])).alias("kv")).select("kv.c", "kv.v").where(F.col("v").isNotNull())
         counts = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-        w = Window.partitionBy("c").orderBy(F.desc("n"), F.asc("v"))
-        top = counts.withColumn("rk", F.row_number().over(w)).where("rk = 1").collect()
+        top = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v")).collect()
         self.values = {c: None for c in self.cols}
         self.values.update({r["c"]: r["v"] for r in top})
         return self
