@@ -198,3 +198,14 @@ def test_knn_with_hot_duplicate_group_is_exact(spark):
             got.setdefault(r.i, []).append((r.rank, r.j))
         exp = _brute_knn(X, ids, 5, include_self)
         assert {i: [j for _, j in sorted(v_)] for i, v_ in got.items()} == exp
+
+
+def test_connectivity_lookup_paths_agree(spark, monkeypatch):
+    from flowlens.operators import connectivity
+    df = flows(spark, SF_SMALL)
+    model = connectivity.ConnectivityFeaturizer().fit(df.where("split = 'train'"))
+    cols = ["flow_id", "src_port_top", "dst_port_top"] + connectivity.COUNT_COLUMNS
+    small = sorted(map(tuple, model.transform(df).select(*cols).collect()))
+    monkeypatch.setattr(connectivity, "BROADCAST_PAIRS", -1)
+    large = sorted(map(tuple, model.transform(df).select(*cols).collect()))
+    assert small == large and len(small) == df.count()
