@@ -343,11 +343,16 @@ def sweep_tables(spark, sf_dir):
                      for cid, a, k, e, ms, _, off in SWEEP])
     lab = df.select("flow_id", "cluster", "type", "label", F.explode(grid).alias("c")).select(
         F.col("c.cid").alias("cid"), "type", "label", _sweep_label().alias("lab"))
-    scores = external.external_scores(_targets(lab, "lab"), "y", "lab", ["cid", "target"])
+    # one pass over the exploded rows: the written contingency table feeds
+    # both the scores and the noise summary
+    ct = external.materialize(external.contingency(_targets(lab, "lab"), "y", "lab", ["cid", "target"]))
+    scores = external.scores_from_contingency(ct, ["cid", "target"], written=True)
     wide = scores.groupBy("cid").agg(*[
         F.max(F.when(F.col("target") == t, F.col(m))).alias(f"{m}_{t}")
         for t in ("type", "label") for m in ("ARI", "AMI", "V")])
-    ns = external.noise_summary(lab, "lab", ["cid"]).drop("n_points")
+    ns = ct.where(F.col("target") == "type").groupBy("cid").agg(
+        (F.sum(F.when(F.col("v") == "-1", F.col("n")).otherwise(0)) / F.sum("n")).alias("noise_ratio"),
+        F.countDistinct(F.when(F.col("v") != "-1", F.col("v"))).alias("n_clusters"))
     params = spark.createDataFrame([(cid, a, k, e, ms, lk) for cid, a, k, e, ms, lk, _ in SWEEP],
                                    "cid int, algo string, k int, e int, min_samples int, linkage string")
     t = params.join(wide, "cid").join(ns, "cid")
