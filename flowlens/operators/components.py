@@ -28,10 +28,12 @@ from flowlens.operators.store import TableStore
 
 def _shortcut(p: DataFrame, store: TableStore, max_jumps: int = 64) -> DataFrame:
     for _ in range(max_jumps):
+        # the jump and its convergence flag come from one pass
+        np_ = F.coalesce(F.col("y.p"), F.col("x.p"))
         nxt = store.save(p.alias("x").join(p.alias("y"), F.col("x.p") == F.col("y.v"), "left")
-                         .select(F.col("x.v").alias("v"), F.coalesce(F.col("y.p"), F.col("x.p")).alias("p")))
-        moved = nxt.join(p.withColumnRenamed("p", "old"), "v").where(F.col("p") != F.col("old")).limit(1).count()
-        p = nxt
+                         .select(F.col("x.v").alias("v"), np_.alias("p"), (np_ != F.col("x.p")).alias("moved")))
+        moved = nxt.where("moved").limit(1).count()
+        p = nxt.drop("moved")
         if moved == 0:
             break
     return p
