@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import quality, secrets, urls
+import public_tokenizers
+
+from flowlens.llm import piece_fst, quality, secrets, token_counts, urls
 from flowlens.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +33,21 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+# --- 1: SentencePiece encoding and decoding ---------------------------------------
+@query("op1_piece_fst")
+def op1(table):
+    out = piece_fst.encode_documents(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    marks = F.translate("text", "\u2581", " ")  # the space mark itself is read as a space
+    return out.select("doc_id", "n_tokens", "ids_crc32", F.length("decoded").cast("long").alias("n_decoded"),
+                      (F.col("decoded") == marks).alias("round_trip"))
+
+
+# --- 2: token counts ----------------------------------------------------------------
+@query("op2_token_counts")
+def op2(table):
+    return token_counts.count_tokens(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 # --- 4: secret scans -------------------------------------------------------------
 def _sql_spans(rule: secrets.Rule) -> str:
     """DuckDB: list of {start, rank, end, kind} of a rule's kept matches."""
