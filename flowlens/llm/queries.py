@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from flowlens.llm import piece_fst, quality, secrets, token_counts, urls
+from flowlens.llm import packing, piece_fst, quality, secrets, token_counts, urls
 from flowlens.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,12 @@ def op4(table):
         F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+# --- 6: packing ----------------------------------------------------------------------
+@query("op6_packing")
+def op6(table):
+    return packing.pack(table("documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 # --- 7: quality rules ------------------------------------------------------------
 @query("op7_quality_llr")
 def op7(table):
