@@ -92,7 +92,8 @@ def op4(table):
 # --- 6: packing ----------------------------------------------------------------------
 @query("op6_packing")
 def op6(table):
-    return packing.pack(table("documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table("documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 # --- 7: quality rules ------------------------------------------------------------
