@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from flowlens.llm import packing, piece_fst, quality, secrets, token_counts, urls
+from flowlens.llm import bit_topk, packing, piece_fst, quality, secrets, token_counts, urls
 from flowlens.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,23 @@ def op7(table):
                       "n_repeat_words", "base_failed", F.col("stays").alias("kept"), "score")
 
 
+# --- 9: exact top-k search --------------------------------------------------------------
+TOPK_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 1024)) as v from embeddings
+           where embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and vec_id is not null),
+s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+      from (select distinct vec_id, v from v where vec_id % 100 = 0) q join v c on q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
+@query("op9_bit_topk", TOPK_SQL)
+def op9(table):
+    return bit_topk.top_k(table("embeddings"))
+
+
 # --- 10: url filters -------------------------------------------------------------
 def _sql_like(text: str) -> str:
     return "'" + urls.compile_rule(text, "").regex.replace("'", "''") + "'"
