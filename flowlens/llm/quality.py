@@ -1,9 +1,8 @@
 """Quality rules: hashed n-gram log-likelihood ratio, DataFrame functions only.
 
-Every word and every pair of neighbouring words (lower-cased) is hashed into one
-of ``BUCKETS`` buckets.  The raw multinomial counts the buckets of all documents;
-the trusted-target multinomial those of documents labelled good.  A document's
-score is the mean over its n-grams of log(p_target / p_raw).  The threshold is
+Every word and every pair of neighbouring words is hashed into one of ``BUCKETS``
+buckets.  The raw multinomial counts the buckets of all documents; the
+trusted-target multinomial those of documents labelled good.  A document's score is the mean over its n-grams of log(p_target / p_raw).  The threshold is
 the midpoint between the mean scores of labelled good and labelled bad documents;
 a document stays if it does not fail the base rules and its score is at least
 the threshold.  Every document is scored and judged, over its whole text.
@@ -40,42 +39,55 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE, -1), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE, -1), "")
 
 
-def buckets_of(words: Column, n: int = BUCKETS) -> Column:
-    """Bucket of every word and of every pair of neighbouring words."""
-    low = F.transform(words, lambda w: F.xxhash64(F.lower(w)))
-    pairs = F.zip_with(F.slice(low, 2, F.greatest(F.size(low) - 1, F.lit(0))), low,
-                       lambda b, a: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    return F.transform(F.concat(low, F.array_compact(pairs)), lambda h: F.pmod(h, F.lit(n)).cast("int"))
+def _after(column: str, step: int) -> Column:
+    """The array from its element ``step`` on."""
+    return F.slice(column, step + 1, F.greatest(F.size(column) - step, F.lit(0)))
+
+
+def with_hashes(df: DataFrame) -> DataFrame:
+    """Adds h1, the words' hashes, and h2, those of neighbouring words; h2's last
+    element has no second word."""
+    df = df.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
+    return df.withColumn("h2", F.zip_with("h1", _after("h1", 1), lambda a, b: F.xxhash64(a, b)))
+
+
+def with_buckets(df: DataFrame, n: int) -> DataFrame:
+    """Adds grams: the bucket of every word and of every pair of neighbouring words."""
+    grams = F.concat("h1", F.slice("h2", 1, F.greatest(F.size("h1") - 1, F.lit(0))))
+    return df.withColumn("grams", F.transform(grams, lambda h: F.pmod(h, F.lit(n)).cast("int")))
 
 
 def _repeats(df: DataFrame) -> DataFrame:
     """n_repeat_words: words covered by 8-word windows found twice or more.
-    Texts without a repeated window hash have none; the rest compare the
-    windows themselves, sorted so that equal ones are neighbours."""
-    starts = F.when(F.size("words") >= WINDOW, F.sequence(F.lit(1), F.size("words") - (WINDOW - 1))).otherwise(
-        F.array().cast("array<int>"))
-    df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("starts", starts)
-    df = df.withColumn("windows", F.transform("starts", lambda i: F.xxhash64(F.slice("hashes", i, WINDOW))))
+    Texts without a repeated window hash have none; in the rest, windows of equal
+    hash are compared themselves, sorted so that equal ones are neighbours."""
+    both = lambda a, b: F.xxhash64(a, b)
+    df = df.withColumn("h4", F.zip_with("h2", _after("h2", 2), both))
+    df = df.withColumn("windows", F.slice(F.zip_with("h4", _after("h4", 4), both), 1,
+                                          F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))))
     repeated = F.size(F.array_distinct("windows")) < F.size("windows")
-    none = F.array().cast("array<struct<w:string,i:int>>")
-    df = df.withColumn("sorted", F.when(repeated, F.array_sort(F.transform(
-        "starts", lambda i: F.struct(F.array_join(F.slice("words", i, WINDOW), " ").alias("w"), i.alias("i")))))
-        .otherwise(none)).drop("hashes", "windows", "starts")
-    at = lambda k: F.get("sorted", k)["w"]  # noqa: E731  null outside
-    twice = F.filter("sorted", lambda x, k: F.coalesce(at(k - 1) == x["w"], F.lit(False))
-                     | F.coalesce(at(k + 1) == x["w"], F.lit(False)))
-    df = df.withColumn("twice", F.array_sort(F.transform(twice, lambda x: x["i"])))
+    near = lambda column, field, x, k: F.coalesce(  # noqa: E731  equal to a neighbour?
+        F.get(column, k - 1)[field] == x[field], F.lit(False)) | F.coalesce(
+        F.get(column, k + 1)[field] == x[field], F.lit(False))
+    df = df.withColumn("hashed", F.when(repeated, F.sort_array(F.transform(
+        "windows", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i")))))
+        .otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).drop("h4", "windows")
+    df = df.withColumn("hashed", F.filter("hashed", lambda x, k: near("hashed", "h", x, k)))
+    df = df.withColumn("sorted", F.sort_array(F.transform(
+        "hashed", lambda x: F.struct(F.array_join(F.slice("words", x["i"], WINDOW), " ").alias("w"), x["i"].alias("i")))))
+    twice = F.filter("sorted", lambda x, k: near("sorted", "w", x, k))
+    df = df.withColumn("twice", F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.zip_with("twice", F.slice("twice", 2, F.greatest(F.size("twice") - 1, F.lit(0))),
                          lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
     return df.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x)) \
-        .drop("sorted", "twice")
+        .drop("hashed", "sorted", "twice")
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """(id, kept, words) of a table with id, text and kept, plus the base columns."""
+    """(id, kept, words, h1, h2) of a table with id, text and kept, plus the base columns."""
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.rlike(x, F.lit(NON_SPACE)))
     df = docs.withColumn("words", words_of(F.col("text"))).withColumn("lines", lines)
     df = df.select("id", "kept", "words",
@@ -83,7 +95,7 @@ def measure(docs: DataFrame) -> DataFrame:
                    F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
                    F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
                    (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
-    df = _repeats(df)
+    df = _repeats(with_hashes(df))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return df.withColumn("base_failed", failed)
 
@@ -98,10 +110,13 @@ def labelled_sample(labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "d
 
 def fit_ratios(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> list[float] | None:
     """log(p_target / p_raw) of each bucket; None without trusted documents."""
-    counts = (docs.select("id", buckets_of(words_of(F.col("text")), buckets).alias("b"))
+    words = docs.select("id", words_of(F.col("text")).alias("words"))
+    counts = (with_buckets(with_hashes(words), buckets).select("id", "grams")
               .join(F.broadcast(sample), F.col("id") == F.col("label_id"), "left")
-              .select(F.explode("b").alias("b"), F.coalesce("good", F.lit(0)).alias("good"))
+              # outer: else the optimizer infers a filter that hashes every text again
+              .select(F.explode_outer("grams").alias("b"), F.coalesce("good", F.lit(0)).alias("good"))
               .groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target")).collect())
+    counts = [r for r in counts if r["b"] is not None]  # texts without words
     raw, target = sum(r["raw"] for r in counts), sum(r["target"] for r in counts)
     if not target:
         return None
@@ -111,20 +126,20 @@ def fit_ratios(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> li
     return ratios
 
 
-def score_of(words: Column, ratios: list[float]) -> Column:
-    """Mean log ratio over the text's n-grams; 0 for a text without words."""
+def with_score(df: DataFrame, ratios: list[float]) -> DataFrame:
+    """Adds score: the mean log ratio over a text's n-grams, 0 without words."""
     table = F.split(F.lit(",".join(f"{x:.6g}" for x in ratios)), ",").cast("array<double>")
-    grams = buckets_of(words, len(ratios))
-    total = F.aggregate(grams, F.lit(0.0), lambda s, b: s + F.get(table, b))
-    return F.when(F.size(words) > 0, total / (2 * F.size(words) - 1)).otherwise(F.lit(0.0))
+    total = F.aggregate("grams", F.lit(0.0), lambda s, b: s + F.get(table, b))
+    df = with_buckets(df, len(ratios))
+    return df.withColumn("score", F.when(F.size("words") > 0, total / F.size("grams")).otherwise(F.lit(0.0))).drop("grams")
 
 
 def fit_threshold(docs: DataFrame, sample: DataFrame, ratios: list[float]) -> float | None:
     """Midpoint between the mean scores of labelled good and bad documents."""
     rows = (docs.join(F.broadcast(sample), F.col("id") == F.col("label_id"))
-            .select("good", words_of(F.col("text")).alias("words")).where("size(words) > 0")
-            .select("good", score_of(F.col("words"), ratios).alias("s"))
-            .groupBy("good").agg(F.avg("s").alias("m")).collect())
+            .select("good", words_of(F.col("text")).alias("words")))
+    rows = (with_score(with_hashes(rows), ratios).where("size(words) > 0")
+            .groupBy("good").agg(F.avg("score").alias("m")).collect())
     means = {r["good"]: r["m"] for r in rows}
     return round((means[0] + means[1]) / 2, 6) if len(means) == 2 else None
 
@@ -140,6 +155,7 @@ def judge_quality(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...]
     least = fit_threshold(slim, sample, ratios) if ratios else None
     out = measure(docs)
     if ratios is None or least is None:
-        return out.withColumn("score", F.lit(0.0)).withColumn("stays", ~F.col("base_failed")).drop("words")
-    out = out.withColumn("score", score_of(F.col("words"), ratios))
-    return out.withColumn("stays", ~F.col("base_failed") & (F.col("score") >= least)).drop("words")
+        out = out.withColumn("score", F.lit(0.0)).withColumn("stays", ~F.col("base_failed"))
+    else:
+        out = with_score(out, ratios).withColumn("stays", ~F.col("base_failed") & (F.col("score") >= least))
+    return out.drop("words", "h1", "h2")
