@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from flowlens.llm import bit_topk, packing, piece_fst, quality, secrets, token_counts, urls
+from flowlens.llm import bit_topk, jaccard, packing, piece_fst, quality, secrets, token_counts, urls
 from flowlens.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,12 @@ def op7(table):
                       "n_repeat_words", "base_failed", F.col("stays").alias("kept"), "score")
 
 
+# --- 8: n-gram Jaccard join --------------------------------------------------------------
+@query("op8_jaccard_join")
+def op8(table):
+    return jaccard.join_near(table("documents"))
+
+
 # --- 9: exact top-k search --------------------------------------------------------------
 TOPK_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 1024)) as v from embeddings
