@@ -1,17 +1,17 @@
 """Connected components on an edge DataFrame (CLU-10).
 
-Root hooking on a contracting graph, all DataFrame operations:
+Hooking on a contracting graph, all DataFrame operations:
 1. Edges are stored once as (a, b) with a < b.
-2. Hook: every endpoint b takes as parent the smallest neighbour a
+2. Hook: every endpoint b takes as parent its smallest neighbour a
    (``groupBy(b).min(a)``; map-side partial mins absorb hub vertices).
    Parents are always smaller, so the parent links form a forest.
-3. Shortcut: pointer jumping p(v) <- p(p(v)) on the (shrinking) vertex set
-   until every vertex points at its root.
-4. Contract: edges become (p(a), p(b)) between roots, self loops and
-   duplicates dropped; every original vertex's label is composed with p.
-Only local-minimum roots survive a round, so the edge table shrinks
-geometrically; the loop ends when no edge is left.  The component id is
-the smallest vertex id of the component.
+3. Jump: parents are followed three steps in one plan, until every parent is
+   a root, i.e. has no parent itself; the table that holds the new parents
+   says whether any has.
+4. Contract: edges become (p(a), p(b)), self loops and duplicates dropped.
+Only local minima survive a round, so the edge table shrinks geometrically;
+the loop ends when no edge is left.  Labels are composed once, at the end,
+from the rounds' parent tables.
 
 Each round's tables are written to the cluster's shared
 ``spark.checkpoint.dir`` and read back: lineage stays one round deep and a
@@ -26,43 +26,38 @@ from pyspark.sql import functions as F
 from flowlens.operators.store import TableStore
 
 
-def _shortcut(p: DataFrame, store: TableStore, max_jumps: int = 64) -> DataFrame:
-    for _ in range(max_jumps):
-        # the jump and its convergence flag come from one pass
-        np_ = F.coalesce(F.col("y.p"), F.col("x.p"))
-        nxt = store.save(p.alias("x").join(p.alias("y"), F.col("x.p") == F.col("y.v"), "left")
-                         .select(F.col("x.v").alias("v"), np_.alias("p"), (np_ != F.col("x.p")).alias("moved")))
-        moved = nxt.where("moved").limit(1).count()
-        p = nxt.drop("moved")
-        if moved == 0:
-            break
-    return p
+def _roots(hook: DataFrame, store: TableStore) -> DataFrame:
+    """(v, p): each vertex's root; roots themselves have no row in ``hook``."""
+    while True:
+        one, two, three = (hook.select(F.col("v").alias(f"v{k}"), F.col("p").alias(f"p{k}")) for k in (1, 2, 3))
+        up = hook.join(one, F.col("p") == F.col("v1"), "left").select("v", F.coalesce("p1", "p").alias("p"))
+        up = up.join(two, F.col("p") == F.col("v2"), "left").select("v", F.coalesce("p2", "p").alias("p"))
+        up = up.join(three, F.col("p") == F.col("v3"), "left").select("v", "p", F.col("v3").isNotNull().alias("more"))
+        up = store.save(up)
+        hook = up.drop("more")
+        if up.where("more").isEmpty():
+            return hook
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, src: str = "src",
-                         dst: str = "dst", vid: str = "id", max_rounds: int = 200) -> DataFrame:
+                         dst: str = "dst", vid: str = "id") -> DataFrame:
     """(id, component) where component = min vertex id of its component."""
-    spark = edges.sparkSession
-    store = TableStore(spark, "cc")
+    store = TableStore(edges.sparkSession, "cc")
     e = edges.select(F.col(src).alias("a0"), F.col(dst).alias("b0")).where(F.col("a0") != F.col("b0"))
     e = store.save(e.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct())
     if vertices is None:
         vertices = e.select(F.col("a").alias(vid)).union(e.select(F.col("b").alias(vid)))
-    labels = store.save(vertices.select(F.col(vid).alias("v")).distinct().withColumn("l", F.col("v")))
-    for _ in range(max_rounds):
-        if e.limit(1).count() == 0:
-            break
-        hook = e.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("h"))
-        nodes = e.select(F.col("a").alias("v")).union(e.select(F.col("b").alias("v"))).distinct()
-        p = store.save(nodes.join(hook, "v", "left").select("v", F.coalesce("h", "v").alias("p")))
-        p = _shortcut(p, store)
+    labels = vertices.select(F.col(vid).alias("v")).distinct().withColumn("l", F.col("v"))
+    while not e.isEmpty():
+        p = _roots(store.save(e.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p"))), store)
         pa = p.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         pb = p.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        e = store.save(e.join(pa, "a").join(pb, "b").where(F.col("pa") != F.col("pb"))
-                       .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-        labels = store.save(labels.join(p.select(F.col("v").alias("l"), F.col("p").alias("np")), "l", "left")
-                            .select("v", F.coalesce("np", "l").alias("l")))
-    return labels.select(F.col("v").alias(vid), F.col("l").alias("component"))
+        a, b = F.coalesce("pa", "a"), F.col("pb")  # every b has a parent
+        e = store.save(e.join(pb, "b").join(pa, "a", "left").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+                       .where("a <> b").distinct())
+        labels = (labels.join(p.select(F.col("v").alias("l"), F.col("p").alias("np")), "l", "left")
+                  .select("v", F.coalesce("np", "l").alias("l")))
+    return store.save(labels.select(F.col("v").alias(vid), F.col("l").alias("component")))
 
 
 def count_components(labels: DataFrame) -> int:
