@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import quality, secrets
+import public_tokenizers
+
+from flowlens.llm import jaccard, packing, quality, secrets
 from flowlens.operators.store import materialize
 from flowlens.session import checkpoint_dir
 
@@ -25,6 +27,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where("stays").select(*[F.col(f"kept.{c}").alias(c) for c in COLUMNS])
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: that of smallest id.  Rows
+    that repeat the kept id keep one row; rows without an id stay."""
+    checkpoint_dir(spark)
+    near = jaccard.join_near(docs)
+    gone = near.where("n_links > 0 and class_id is not null and doc_id <> class_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    heads = near.where("n_links > 0 and doc_id = class_id").select(F.col("doc_id").alias("head")).distinct()
+    kept = kept.join(heads, F.col("doc_id") == F.col("head"), "left")
+    # a row number only for rows of kept heads, whose id may repeat: few rows each
+    first = kept.where("head is not null").groupBy("head").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
+    first = first.select(F.col("head").alias("doc_id"), "r.text", "r.lang", "r.source", "r.n_chars")
+    return kept.where("head is null").select(*COLUMNS).unionByName(first)
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, each secret's span replaced by a mark; n_chars follows the text."""
     checkpoint_dir(spark)
@@ -37,7 +54,14 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
                         F.when(hit, F.length("clean").cast("long")).otherwise(F.col("kept.n_chars")).alias("n_chars"))
 
 
-STAGES = [("quality rules", quality_rules), ("secret scans", secret_scans)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    checkpoint_dir(spark)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("secret scans", secret_scans),
+          ("packing", packed)]
 ORACLE_SQL = None
 
 

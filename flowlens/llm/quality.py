@@ -2,9 +2,9 @@
 
 Every word and every pair of neighbouring words is hashed into one of ``BUCKETS``
 buckets.  The raw multinomial counts the buckets of all documents; the
-trusted-target multinomial those of documents labelled good.  A document's score is the mean over its n-grams of log(p_target / p_raw).  The threshold is
-the midpoint between the mean scores of labelled good and labelled bad documents;
-a document stays if it does not fail the base rules and its score is at least
+trusted-target multinomial those of documents labelled good.  A document's score is
+the mean over its n-grams of log(p_target / p_raw).  The threshold is the one of
+best balanced accuracy on labelled good and bad documents; a document stays if it does not fail the base rules and its score is at least
 the threshold.  Every document is scored and judged, over its whole text.
 
 The classifier is fitted on a bounded sample of labelled rows: the
@@ -135,13 +135,26 @@ def with_score(df: DataFrame, ratios: list[float]) -> DataFrame:
 
 
 def fit_threshold(docs: DataFrame, sample: DataFrame, ratios: list[float]) -> float | None:
-    """Midpoint between the mean scores of labelled good and bad documents."""
+    """The threshold of best balanced accuracy on the labelled sample, midway
+    between the two scores that it parts; None without good or bad documents.
+    At most two scores for each row of ``SAMPLE_ROWS`` reach the driver."""
     rows = (docs.join(F.broadcast(sample), F.col("id") == F.col("label_id"))
-            .select("good", words_of(F.col("text")).alias("words")))
+            .select("label_id", "good", words_of(F.col("text")).alias("words")))
     rows = (with_score(with_hashes(rows), ratios).where("size(words) > 0")
-            .groupBy("good").agg(F.avg("score").alias("m")).collect())
-    means = {r["good"]: r["m"] for r in rows}
-    return round((means[0] + means[1]) / 2, 6) if len(means) == 2 else None
+            .groupBy("label_id").agg(F.first("good").alias("good"), F.avg("score").alias("s")).collect())
+    scores = sorted((r["s"], r["good"]) for r in rows)
+    n_good = sum(g for _, g in scores)
+    n_bad = len(scores) - n_good
+    if not n_good or not n_bad:
+        return None
+    best, cut, bad_below, good_below = 0.0, scores[0][0], 0, 0
+    for (s, good), (after, _) in zip(scores, scores[1:]):
+        good_below += good
+        bad_below += 1 - good
+        right = bad_below / n_bad + 1 - good_below / n_good
+        if after > s and right > best:
+            best, cut = right, (s + after) / 2
+    return round(cut, 6)
 
 
 def judge_quality(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), buckets: int = BUCKETS,

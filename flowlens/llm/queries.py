@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from flowlens.llm import bit_topk, jaccard, packing, piece_fst, quality, secrets, token_counts, urls
+from flowlens.llm import bit_topk, gru_lm, jaccard, packing, piece_fst, quality, secrets, token_counts, urls
 from flowlens.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,12 @@ def op4(table):
         F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+# --- 5: LM scoring ---------------------------------------------------------------------
+@query("op5_gru_lm")
+def op5(table):
+    return gru_lm.score_documents(table("documents"))
+
+
 # --- 6: packing ----------------------------------------------------------------------
 @query("op6_packing")
 def op6(table):
