@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     checkpoint_dir(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = quality.judge_quality(docs, labels, keep=COLUMNS)
-    return judged.where("stays").select(*[F.col(f"kept.{c}").alias(c) for c in COLUMNS])
+    return quality.settled(judged, "stays").select(*[F.col(f"kept.{c}").alias(c) for c in COLUMNS])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

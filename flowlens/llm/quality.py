@@ -4,8 +4,10 @@ Every word and every pair of neighbouring words is hashed into one of ``BUCKETS`
 buckets.  The raw multinomial counts the buckets of all documents; the
 trusted-target multinomial those of documents labelled good.  A document's score is
 the mean over its n-grams of log(p_target / p_raw).  The threshold is the one of
-best balanced accuracy on labelled good and bad documents; a document stays if it does not fail the base rules and its score is at least
-the threshold.  Every document is scored and judged, over its whole text.
+best weighted accuracy on other labelled documents, good and bad, so that it
+holds for documents which the target has not seen.  A document stays if it does
+not fail the base rules and its score is at least the threshold.  Every document
+is scored and judged, over its whole text.
 
 The classifier is fitted on a bounded sample of labelled rows: the
 ``sample_rows`` good and as many bad ids of smallest hash.  That is what makes
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
 SAMPLE_ROWS = 10_000
+GOOD_WEIGHT = 10   #: losing a share of the good documents is as bad as keeping ten times that of the bad
 #: Fixed values of the base rules.
 SPACE = r"[\x20\x09-\x0D]+"
 NON_SPACE = r"[^\x20\x09-\x0D]"
@@ -101,11 +104,12 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def labelled_sample(labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> DataFrame:
-    """(label_id, good): at most ``rows`` good and ``rows`` bad ids, by smallest hash."""
+    """(label_id, good, fits): at most ``rows`` good and ``rows`` bad ids, by smallest
+    hash; half of them fit the target counts, the others the threshold."""
     one = (labels.select(F.col(id_col).alias("label_id"), F.col("quality").cast("int").alias("good"))
            .where("label_id is not null and good in (0, 1)").groupBy("label_id").agg(F.min("good").alias("good")))
     parts = [one.where(F.col("good") == g).orderBy(F.xxhash64("label_id"), "label_id").limit(rows) for g in (0, 1)]
-    return parts[0].union(parts[1])
+    return parts[0].union(parts[1]).withColumn("fits", F.pmod(F.xxhash64("label_id", F.lit(1)), F.lit(2)) == 0)
 
 
 def fit_ratios(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> list[float] | None:
@@ -114,7 +118,8 @@ def fit_ratios(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> li
     counts = (with_buckets(with_hashes(words), buckets).select("id", "grams")
               .join(F.broadcast(sample), F.col("id") == F.col("label_id"), "left")
               # outer: else the optimizer infers a filter that hashes every text again
-              .select(F.explode_outer("grams").alias("b"), F.coalesce("good", F.lit(0)).alias("good"))
+              .select(F.explode_outer("grams").alias("b"),
+                      F.when(F.col("fits"), F.col("good")).otherwise(F.lit(0)).alias("good"))
               .groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target")).collect())
     counts = [r for r in counts if r["b"] is not None]  # texts without words
     raw, target = sum(r["raw"] for r in counts), sum(r["target"] for r in counts)
@@ -135,14 +140,14 @@ def with_score(df: DataFrame, ratios: list[float]) -> DataFrame:
 
 
 def fit_threshold(docs: DataFrame, sample: DataFrame, ratios: list[float]) -> float | None:
-    """The threshold of best balanced accuracy on the labelled sample, midway
+    """The threshold of best weighted accuracy on the labelled sample, midway
     between the two scores that it parts; None without good or bad documents.
     At most two scores for each row of ``SAMPLE_ROWS`` reach the driver."""
-    rows = (docs.join(F.broadcast(sample), F.col("id") == F.col("label_id"))
+    rows = (docs.join(F.broadcast(sample.where("not fits")), F.col("id") == F.col("label_id"))
             .select("label_id", "good", words_of(F.col("text")).alias("words")))
-    rows = (with_score(with_hashes(rows), ratios).where("size(words) > 0")
-            .groupBy("label_id").agg(F.first("good").alias("good"), F.avg("score").alias("s")).collect())
-    scores = sorted((r["s"], r["good"]) for r in rows)
+    rows = (with_score(with_hashes(rows), ratios).groupBy("label_id")
+            .agg(F.first("good").alias("good"), F.avg(F.when(F.size("words") > 0, F.col("score"))).alias("s")).collect())
+    scores = sorted((r["s"], r["good"]) for r in rows if r["s"] is not None)
     n_good = sum(g for _, g in scores)
     n_bad = len(scores) - n_good
     if not n_good or not n_bad:
@@ -151,12 +156,19 @@ def fit_threshold(docs: DataFrame, sample: DataFrame, ratios: list[float]) -> fl
     for (s, good), (after, _) in zip(scores, scores[1:]):
         good_below += good
         bad_below += 1 - good
-        right = bad_below / n_bad + 1 - good_below / n_good
+        right = bad_below / n_bad + GOOD_WEIGHT * (1 - good_below / n_good)
         if after > s and right > best:
             best, cut = right, (s + after) / 2
     return round(cut, 6)
 
 
+def settled(df: DataFrame, verdict: str) -> DataFrame:
+    """The rows with a true computed verdict.  A plain filter would be pushed below
+    the projections that compute it, with every intermediate array written out
+    again at each of its uses; it isn't pushed below a random column."""
+    return df.withColumn("_above", F.rand(0)).where(F.col(verdict) & (F.col("_above") >= 0)).drop("_above")
+
+
 def judge_quality(documents: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), buckets: int = BUCKETS,
                   sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kept struct of the columns in ``keep``, base columns, score, stays) of every row."""
