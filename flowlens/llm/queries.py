@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from flowlens.llm import bit_topk, gru_lm, jaccard, packing, piece_fst, quality, secrets, token_counts, urls
+from flowlens.llm import bit_topk, gru_lm, jaccard, main_text, packing, piece_fst, quality, secrets, token_counts, urls
 from flowlens.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,12 @@ def op2(table):
     return token_counts.count_tokens(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+# --- 3: html extraction ---------------------------------------------------------------
+@query("op3_main_text")
+def op3(table):
+    return main_text.extract_main_text(table("pages"))
+
+
 # --- 4: secret scans -------------------------------------------------------------
 def _sql_spans(rule: secrets.Rule) -> str:
     """DuckDB: list of {start, rank, end, kind} of a rule's kept matches."""
