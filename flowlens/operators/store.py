@@ -23,20 +23,14 @@ class TableStore:
         df.write.mode(mode).parquet(path)
         return self.spark.read.parquet(path)
 
-    def append(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").parquet(f"{self.base}/{name}")
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/{name}")
-
 
 def global_rank(df: DataFrame, order_cols, out: str = "rank", partitions: int | None = None) -> DataFrame:
-    """Dense 1-based rank by ``order_cols`` (a total order) without a
-    single-partition window: range-partition, rank inside each partition,
-    add per-partition offsets from a table of partition counts."""
+    """1-based rank by ``order_cols`` (a total order) without a single-partition
+    window: range-partition, rank inside each partition, write, and add
+    per-partition offsets read from the written table."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     s = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
-    local = s.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
+    local = materialize(s.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols))), "rank")
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: the running offset window is over a tiny table
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(

@@ -203,11 +203,10 @@ def q_dominant_map(spark, sf_dir):
 @query("dominant_classify", with_views(
     "select f.flow_id, f.type, coalesce(p.dominant_type, 'unknown') as y_pred_dom from flows f "
     "left join p on f.cluster = p.cluster where f.split = 'test'",
-    ("p", _PURITY_SQL.format(w="split in ('train', 'valid') and flow_id % 23 <> 0"))))
+    ("p", _PURITY_SQL.format(w="split in ('train', 'valid')"))))
 def q_dominant_classify(spark, sf_dir):
     df = flows(spark, sf_dir)
-    # Every 23rd flow is held out of the map so some test clusters can be unmapped.
-    fit = df.where(F.col("split").isin("train", "valid") & (F.col("flow_id") % 23 != 0))
+    fit = df.where(F.col("split").isin("train", "valid"))
     m = profile.dominant_map(fit, "cluster", "type")
     test = df.where(F.col("split") == "test").select("flow_id", "type", "cluster")
     return profile.classify_by_map(test, m, "cluster", out="y_pred_dom").select("flow_id", "type", "y_pred_dom")

@@ -51,6 +51,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="flowlens-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:

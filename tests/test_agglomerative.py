@@ -42,3 +42,13 @@ def test_rac_matches_naive_on_complete_graph(spark, linkage):
             got.setdefault(r.cluster, set()).add(r.id)
         assert {frozenset(v) for v in got.values()} == _naive(X, k, linkage)
         assert all(min(v) == c for c, v in got.items())
+
+
+def test_chain_of_doubling_gaps_merges_to_one(spark):
+    import itertools
+    n = 8
+    pts = spark.createDataFrame([(k, [float(2 ** k)]) for k in range(n)], "id long, v array<double>")
+    edges = spark.createDataFrame(list(itertools.combinations(range(n), 2)), "i long, j long")
+    merges, _ = agglomerative.dendrogram(pts, "v", "id", edges, "complete")
+    assert merges.count() == n - 1
+    assert agglomerative.cut(pts, "id", merges, 2).select("cluster").distinct().count() == 2

@@ -39,11 +39,24 @@ def test_three_way_split_is_group_disjoint(spark):
     assert {r["split"] for r in out.select("split").distinct().collect()} == {"train", "valid", "test"}
 
 
-def test_bucketed_deal_is_group_disjoint(spark):
+def test_deal_is_the_same_for_any_number_of_partitions(spark):
     df = flows(spark, SF_SMALL)
-    out = splits.group_folds(df, buckets=4)
-    assert out.groupBy("grp").agg(F.countDistinct("fold").alias("k")).where("k > 1").count() == 0
-    assert out.select("fold").distinct().count() == 5
+    groups = splits.group_table(splits.group_folds(df), "type")
+    want = None
+    for n in (1, 3, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        got = sorted(map(tuple, splits.deal_folds(groups, 5, 42).collect()))
+        want = want or got
+        assert got == want
+    assert len({f for _, f in want}) == 5
+
+
+def test_unmapped_clusters_are_unknown(spark):
+    from flowlens.operators import profile
+    df = spark.createDataFrame([(1, 0, "a"), (2, 1, "b")], "flow_id long, cluster int, type string")
+    m = profile.dominant_map(df.where("cluster = 0"), "cluster", "type")
+    got = profile.classify_by_map(df, m, "cluster", out="y").select("flow_id", "y").collect()
+    assert sorted(map(tuple, got)) == [(1, "a"), (2, "unknown")]
 
 
 def _brute_knn(X, ids, k, include_self):
@@ -209,3 +222,33 @@ def test_connectivity_lookup_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(connectivity, "BROADCAST_PAIRS", -1)
     large = sorted(map(tuple, model.transform(df).select(*cols).collect()))
     assert small == large and len(small) == df.count()
+
+
+def test_knn_breaks_ties_by_key_however_many(spark):
+    n = 60
+    df = spark.createDataFrame([(k, [float(j == k) for j in range(n)]) for k in range(n)], "id long, v array<double>")
+    for pivots in (1, 7):
+        got = {}
+        for r in neighbors.knn(df, "v", "id", 3, include_self=False, n_pivots=pivots, block=16).collect():
+            got.setdefault(r.i, {})[r["rank"]] = r.j
+        want = {k: dict(enumerate([j for j in range(4) if j != k][:3], 1)) for k in range(n)}
+        assert got == want
+
+
+def test_eps_join_is_complete_on_a_lattice(spark):
+    pts = [(30 * a + b, [0.1 * a, 0.1 * b]) for a in range(30) for b in range(30)]
+    x = np.array([p for _, p in pts])
+    d2 = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
+    df = spark.createDataFrame(pts, "id long, v array<double>")
+    for pivots, eps in ((16, 0.5), (60, 0.1), (60, 0.2), (60, 0.30000000000000004)):
+        got = neighbors.eps_pairs(df, "v", "id", eps, include_self=False, n_pivots=pivots)
+        assert got.count() == int((d2 <= eps * eps).sum()) - len(pts)
+
+
+def test_fitted_featuriser_keeps_its_parameters(spark, tmp_path):
+    from flowlens.operators.connectivity import ConnectivityFeaturizer, ConnectivityModel
+    df = flows(spark, SF_SMALL)
+    model = ConnectivityFeaturizer(topN=3, logCounts=False, dropRawIps=False).fit(df)
+    model.save_state(str(tmp_path))
+    again = ConnectivityModel.load_state(spark, str(tmp_path))
+    assert sorted(map(str, model.transform(df).collect())) == sorted(map(str, again.transform(df).collect()))
