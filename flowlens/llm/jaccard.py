@@ -45,7 +45,7 @@ from flowlens.operators.store import materialize
 SHINGLE = 5
 BANDS, ROWS = 32, 5
 STEP, TOLERANCE = 16, 1e-7
-BLOCK_NODES, BLOCK_SHINGLES = 2048, 1_500_000
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1_500_000
 WORDS = re.compile(r"[^ \t-\r]+")
 _RNG = np.random.default_rng(20)
 MULTIPLY = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
