@@ -14,10 +14,13 @@ homogeneity / completeness 1.0.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.columns import log_factorial
+from flowlens.operators.store import materialize as written
 
 EPS64 = 2.220446049250313e-16
 # Terms of the EMI sum further than this from the hypergeometric mean are
@@ -171,37 +174,65 @@ def with_size_defaults(df: DataFrame) -> DataFrame:
                       "max_size": 0})
 
 
+def hypergeometric(good: int, total: int, draws: int, rng) -> int:
+    """Exact draw of the good ones among ``draws`` out of ``total`` without
+    replacement, for totals of any size: inversion over mean +- (12 sigma + 40),
+    outside which the mass is below double precision.  Probabilities come from
+    the ratios of neighbouring terms, so nothing cancels."""
+    import numpy as np
+
+    lo, hi = max(0, draws - (total - good)), min(draws, good)
+    if lo == hi:
+        return lo
+    mean = draws * (good / total)
+    sd = math.sqrt(max(0.0, mean * (1 - good / total) * ((total - draws) / max(total - 1, 1))))
+    lo, hi = max(lo, int(mean - 12 * sd - 40)), min(hi, int(mean + 12 * sd + 40))
+    x = np.arange(lo, hi, dtype=np.float64)
+    up = np.log((good - x) * ((draws - x) / ((x + 1) * (total - good - draws + x + 1))))
+    logp = np.append(0.0, np.cumsum(up))
+    cdf = np.cumsum(np.exp(logp - logp.max()))
+    return lo + min(int(np.searchsorted(cdf, rng.random() * cdf[-1], "right")), hi - lo)
+
+
 def permutation_test(df: DataFrame, truth: str, pred: str, replicates: int = 199, seed: int = 42,
                      metrics=("AMI", "V")) -> DataFrame:
     """Observed score vs ``replicates`` label shuffles; p = (1 + #{perm >= obs}) / (B + 1) (EVA-11).
 
     Shuffling one labelling leaves both margins fixed and makes the
     contingency table multivariate-hypergeometric given them, so replicate
-    tables are drawn from the R + C margins directly: the rows are scanned
-    once (for the observed table) however large B is.  All B tables are then
-    scored by one grouped plan.
+    tables are drawn from the R + C margins: the rows are scanned once (for the
+    observed table) however large B is.  The replicates are drawn in Spark
+    tasks, each from a generator of its own, and scored by one grouped plan.
     """
-    import numpy as np
-
     spark = df.sparkSession
-    ct = contingency(df, truth, pred).cache()
-    a = {r["u"]: r["m"] for r in _marginals(ct, [], "u").collect()}
-    b = {r["v"]: r["m"] for r in _marginals(ct, [], "v").collect()}
-    us, vs = sorted(a), sorted(b)
-    col_counts = np.array([b[v] for v in vs], dtype=np.int64)
-    rng = np.random.default_rng(seed)
-    rows = []
-    for rep in range(1, replicates + 1):
-        remaining = col_counts.copy()
-        for u in us:
-            draw = rng.multivariate_hypergeometric(remaining, a[u])
-            remaining -= draw
-            rows += [(rep, u, vs[j], int(n)) for j, n in enumerate(draw) if n]
-    sim = spark.createDataFrame(rows, "rep int, u string, v string, n bigint")
+    ct = written(contingency(df, truth, pred), "observed")
+    a = sorted((r["u"], r["m"]) for r in _marginals(ct, [], "u").collect())
+    b = sorted((r["v"], r["m"]) for r in _marginals(ct, [], "v").collect())
+
+    def draw(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for rep in batch["rep"].tolist():
+                rng = np.random.default_rng([seed, rep])
+                left, rows = [m for _, m in b], []
+                for u, size in a:
+                    total = sum(left)
+                    for j, (v, _) in enumerate(b):
+                        n = hypergeometric(left[j], total, size, rng) if size else 0
+                        total -= left[j]
+                        size -= n
+                        left[j] -= n
+                        if n:
+                            rows.append((rep, u, v, n))
+                yield pd.DataFrame(rows, columns=["rep", "u", "v", "n"])
+
+    reps = spark.range(1, replicates + 1, numPartitions=min(replicates, 64)).withColumnRenamed("id", "rep")
+    sim = written(reps.mapInPandas(draw, "rep long, u string, v string, n bigint"), "replicates")
     obs = scores_from_contingency(ct).first()
     perm = scores_from_contingency(sim, ["rep"])
     agg = perm.agg(*[F.sum(F.when(F.col(m) >= F.lit(obs[m]) - 1e-12, 1).otherwise(0)).alias(m) for m in metrics]
                    ).first()
     out = [(m, float(obs[m]), (1.0 + agg[m]) / (replicates + 1.0), replicates) for m in metrics]
-    ct.unpersist()
     return spark.createDataFrame(out, "metric string, observed double, p_value double, replicates int")

@@ -287,8 +287,8 @@ def q_grouped_cv(spark, sf_dir):
     """Grouped 3-fold CV macro-F1 of the type forest on the train split (SPL-4)."""
     df = flows(spark, sf_dir).where("split = 'train'")
     folded = splits.group_folds(df, "type", k=3, seed=10000)
-    pre = classify.SupervisedPreprocessor(exclude=SUP_EXCLUDE + ["grp", "fold"]).fit(folded)
-    mean, std, scores = classify.grouped_cv(pre.transform(folded), "type", k=3, **FOREST)
+    mean, std, scores = classify.grouped_cv(
+        folded, "type", lambda: classify.SupervisedPreprocessor(exclude=SUP_EXCLUDE + ["grp", "fold"]), k=3, **FOREST)
     return spark.createDataFrame([(float(mean), float(std), len(scores))],
                                  "macroF1_mean double, macroF1_std double, n_folds int")
 

@@ -252,3 +252,46 @@ def test_fitted_featuriser_keeps_its_parameters(spark, tmp_path):
     model.save_state(str(tmp_path))
     again = ConnectivityModel.load_state(spark, str(tmp_path))
     assert sorted(map(str, model.transform(df).collect())) == sorted(map(str, again.transform(df).collect()))
+
+
+def test_hypergeometric_draws(spark):
+    from flowlens.operators.external import hypergeometric
+    rng = np.random.default_rng(1)
+    draws = np.array([hypergeometric(7, 20, 9, rng) for _ in range(4000)])
+    from math import comb
+    for x in range(8):
+        p = comb(7, x) * comb(13, 9 - x) / comb(20, 9) if 9 - x <= 13 else 0
+        assert abs((draws == x).mean() - p) < 0.03
+    big = np.array([hypergeometric(800_000_000, 2_000_000_000, 500_000_000, rng) for _ in range(50)])
+    sd = (5e8 * 0.4 * 0.6 * (1.5e9 / 2e9)) ** 0.5
+    assert abs(big.mean() - 2e8) < 4 * sd / 50 ** 0.5
+    assert hypergeometric(0, 5, 3, rng) == 0 and hypergeometric(5, 5, 3, rng) == 3
+
+
+def test_permutation_test_of_equal_and_unrelated_labels(spark):
+    from flowlens.operators.external import permutation_test
+    df = spark.range(600).selectExpr("id % 3 as a", "id % 3 as b", "hash(id) % 2 as c")
+    same = permutation_test(df, "a", "b", replicates=19).collect()
+    assert all(r.p_value == 1 / 20 for r in same)
+    other = permutation_test(df, "a", "c", replicates=19).collect()
+    assert all(1 / 20 <= r.p_value <= 1 for r in other)
+
+
+def test_grouped_cv_fits_inside_the_fold(spark):
+    from flowlens.operators import classify
+    rows = [(k, float(k % 7), "only-in-fold-0" if k % 3 == 0 else f"s{k % 2}", f"t{k % 2}", k % 3) for k in range(90)]
+    df = spark.createDataFrame(rows, "flow_id long, x double, service string, type string, fold int")
+    seen = []
+
+    class Watched(classify.SupervisedPreprocessor):
+        def fit(self, train):
+            super().fit(train)
+            seen.append({r["value"] for r in self.onehot.mapping.collect()})
+            return self
+
+    mean, _, scores = classify.grouped_cv(df, "type", lambda: Watched(exclude=["flow_id", "fold", "type"], min_frequency=1),
+                                          k=3, num_trees=3, max_depth=3)
+    assert len(scores) == 3 and 0 <= mean <= 1
+    assert "only-in-fold-0" not in seen[0] and all("only-in-fold-0" in s for s in seen[1:])
+    with pytest.raises(ValueError):
+        classify.grouped_cv(df, "type", lambda: Watched(exclude=["flow_id", "fold", "type"]), k=4, num_trees=3, max_depth=3)
