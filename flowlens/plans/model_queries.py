@@ -106,12 +106,12 @@ def q_gram_matrix(spark, sf_dir):
     return g.select("i", "j", F.round("v", 6).alias("v"))
 
 
-def _embedder(spark, sf_dir, k=10):
+def _embedder(spark, sf_dir, k=50):
     df = flows(spark, sf_dir)
     return df, reduce.FlowEmbedder(k=k).fit(df.where(F.col("split") == "train"))
 
 
-def _embedded(spark, sf_dir, keep=("flow_id", "split", "type", "label"), k=10):
+def _embedded(spark, sf_dir, keep=("flow_id", "split", "type", "label"), k=50):
     """Embedding of every flow, written once (many jobs read it)."""
     from flowlens.operators.store import materialize
     df, emb = _embedder(spark, sf_dir, k)
@@ -138,8 +138,8 @@ def q_explained_variance(spark, sf_dir):
 def q_svd_2d(spark, sf_dir):
     """Two leading embedding dims per flow, with class and cluster (ENC-8)."""
     df, emb = _embedder(spark, sf_dir)
-    z = emb.transform(df, keep=("flow_id", "type"))
-    return z.join(df.select("flow_id", "cluster"), "flow_id").select(
+    z = emb.transform(df, keep=("flow_id", "type", "cluster"))
+    return z.select(
         "flow_id", F.col("emb")[0].alias("svd1"), F.col("emb")[1].alias("svd2"), "type", "cluster")
 
 
@@ -210,9 +210,9 @@ def q_kmeans_lloyd(spark, sf_dir):
 
 @query("kmeans_fit")
 def q_kmeans_fit(spark, sf_dir):
-    """k-means (k=8, best of 3 inits) on the flow embedding; labels for every flow (CLU-1/2)."""
+    """k-means (k=30, best of 10 inits) on the flow embedding; labels for every flow (CLU-1/2)."""
     df, emb, z = _embedded(spark, sf_dir)
-    model, _ = kmeans.fit_kmeans(z.where("split = 'train'"), "emb", k=8, n_init=3)
+    model, _ = kmeans.fit_kmeans(z.where("split = 'train'"), "emb", k=30, n_init=10)
     return kmeans.assign(z, "emb", kmeans.centers_of(model), "cluster_kmeans").drop("emb")
 
 
@@ -221,7 +221,7 @@ def q_kmeans_fit(spark, sf_dir):
 @query("silhouette", with_views(
     "select round(avg(case when na <= 1 then 0.0 when greatest(a, b) > 0 then (b - a) / greatest(a, b) "
     "else 0.0 end), 9) as silhouette from sc",
-    ("s", "select id, label, vec from vectors order by md5(concat(cast(id as varchar), '42')), id limit 200"),
+    ("s", "select id, label, vec from vectors order by md5(concat(cast(id as varchar), '42')), id limit 5000"),
     ("e", "select id, label, unnest(vec) as x, generate_subscripts(vec, 1) as i from s"),
     ("pd", "select a.id, a.label as la, b.id as idb, b.label as lb, sqrt(sum((a.x - b.x) * (a.x - b.x))) as d "
            "from e a join e b on a.i = b.i group by all"),
@@ -232,7 +232,7 @@ def q_kmeans_fit(spark, sf_dir):
            "from pm group by id, la"), views=("vectors",)))
 def q_silhouette(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    s = internal.silhouette(v, "vec", "label", "id", sample_n=200, seed=42)
+    s = internal.silhouette(v, "vec", "label", "id", sample_n=5000, seed=42)
     return spark.createDataFrame([(None if s is None else round(s, 9),)], "silhouette double")
 
 
@@ -298,15 +298,15 @@ def q_kmeans_sweep(spark, sf_dir):
     """k = 2..6 on the flow embedding, one metric row per k (CLU-4, EVA-1..10)."""
     from flowlens.plans.exploratory import kmeans_sweep
     _, _, z = _embedded(spark, sf_dir, keep=("flow_id", "type", "label"))
-    return kmeans_sweep(z, range(2, 7), n_init=2, silhouette_n=1000)
+    return kmeans_sweep(z, range(2, 7), n_init=2, silhouette_n=5000)
 
 
 @query("two_phase_external")
 def q_two_phase_external(spark, sf_dir):
-    """End-to-end unsupervised phase (own split, embedding, k-means k=12) and
+    """End-to-end unsupervised phase (own split, embedding, k-means k=30) and
     its external scores per split x target (N2 section 4)."""
     from flowlens.plans import two_phase
-    art, _, _ = two_phase.unsupervised(flows(spark, sf_dir), k=12, n_components=10, n_init=2,
+    art, _, _ = two_phase.unsupervised(flows(spark, sf_dir), k=30, n_components=50, n_init=3,
                                        exclude=("cluster", "y_pred"))
     return two_phase.external_by_split(art)
 
@@ -317,4 +317,4 @@ def q_dbscan_sweep(spark, sf_dir):
     embedding, one metric row each with _all / _no_noise scores (CLU-13, EVA-10)."""
     from flowlens.plans.exploratory import dbscan_sweep
     _, _, z = _embedded(spark, sf_dir, keep=("flow_id", "type", "label"))
-    return dbscan_sweep(z, min_samples=(10,), silhouette_n=1000)
+    return dbscan_sweep(z, min_samples=(10,), silhouette_n=5000)
