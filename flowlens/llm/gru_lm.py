@@ -17,8 +17,8 @@ crc32(id) mod 10 is not 0 are learned from, all texts are scored, whole.
 * Scoring: the state is carried across windows from a document's first token to
   its end token, so the score is the log probability of the complete document.
 
-Documents are kept as blocks of about ``BLOCK_TOKENS`` tokens: a block's distinct
-words, and each document's tokens as positions among them.  Counts reach a block
+Documents are kept as blocks of about ``BLOCK_TOKENS`` tokens or ``BLOCK_WORDS``
+distinct words, whichever comes first: a block's distinct words, and each document's tokens as positions among them.  Counts reach a block
 by a join on (word), with one row per block and distinct word; so no task needs
 the whole vocabulary.
 
@@ -45,8 +45,8 @@ from flowlens.operators.store import materialize
 END = b"\n"                       # no word holds it
 FREQUENT, CLASSES, RARE = 1024, 32, 32
 HIDDEN, STREAMS, WINDOW = 16, 192, 16
-ROUNDS, RATE, WARM_UP, STRETCH = 4, 0.006, 30, 2048
-BLOCK_TOKENS = 1_000_000
+ROUNDS, RATE, WARM_UP, STRETCH = 4, 0.006, 30, 512
+BLOCK_TOKENS, BLOCK_WORDS = 1_000_000, 45_000   # positions among a block's words mostly fit 16 bits
 SMOOTH = 0.1
 
 
@@ -295,7 +295,7 @@ def make_blocks(docs: DataFrame, vocabulary) -> DataFrame:
         v, number = vocabulary.value, 0
         base = TaskContext.get().partitionId() << 32
         place: dict[bytes, int] = {}
-        ids, held, sizes, parts, held_type = [], [], [], [], pa.int64()
+        ids, held, sizes, parts, total, held_type = [], [], [], [], 0, pa.int64()
 
         def row():
             symbols = np.fromiter(map(v.of, place), np.uint16, len(place))
@@ -303,7 +303,8 @@ def make_blocks(docs: DataFrame, vocabulary) -> DataFrame:
                 pa.array([base + number], pa.int64()), pa.array([list(place)], pa.list_(pa.binary())),
                 pa.array([symbols.tobytes()], pa.binary()), pa.array([ids], pa.list_(held_type)),
                 pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())),
-                pa.array([np.concatenate(parts).tobytes()], pa.binary())], names)
+                pa.array([np.concatenate(parts).astype("<u2" if len(place) <= 65_536 else "<u4").tobytes()], pa.binary())],
+                names)
 
         for batch in batches:
             held_type = batch.schema.field("id").type
@@ -313,9 +314,10 @@ def make_blocks(docs: DataFrame, vocabulary) -> DataFrame:
                 ids.append(key)
                 held.append(out)
                 sizes.append(len(words))
-                if sum(sizes[-1:]) and len(place) + sum(sizes) >= BLOCK_TOKENS:
+                total += len(words)
+                if total >= BLOCK_TOKENS or len(place) >= BLOCK_WORDS:
                     yield row()
-                    place, ids, held, sizes, parts, number = {}, [], [], [], [], number + 1
+                    place, ids, held, sizes, parts, number, total = {}, [], [], [], [], number + 1, 0
         if ids:
             yield row()
 
@@ -324,21 +326,31 @@ def make_blocks(docs: DataFrame, vocabulary) -> DataFrame:
              "sizes array<int>, tokens binary")
 
 
+def _places(tokens: bytes, sizes) -> np.ndarray:
+    """A block's tokens: 16-bit numbers, or 32-bit ones where it has too many words."""
+    return np.frombuffer(tokens, "<u2" if len(tokens) == 2 * int(np.sum(sizes)) else "<u4")
+
+
 def _documents(symbols: bytes, sizes, tokens: bytes) -> list[np.ndarray]:
     of = np.frombuffer(symbols, np.uint16).astype(np.int64)
-    return np.split(of[np.frombuffer(tokens, "<u4")], np.cumsum(sizes)[:-1])
+    return np.split(of[_places(tokens, sizes)], np.cumsum(sizes)[:-1])
 
 
 def train_round(blocks: DataFrame, shared) -> dict | None:
     """Average, weighted by tokens, of the parameters that each task reaches."""
     def run(batches):
-        gru, adam, seen = pickle.loads(shared.value), {}, 0
+        gru, adam, seen, waiting, size = pickle.loads(shared.value), {}, 0, [], 0
         for batch in batches:
             for r in batch.to_pylist():
                 docs = _documents(r["symbols"], r["sizes"], r["tokens"])
                 own = [d for d, out in zip(docs, r["held_out"]) if not out]
-                gru.train(own, adam)
-                seen += sum(map(len, own))
+                waiting += own
+                size += sum(map(len, own))
+                if size >= BLOCK_TOKENS:    # enough to fill the streams evenly
+                    gru.train(waiting, adam)
+                    seen, waiting, size = seen + size, [], 0
+        gru.train(waiting, adam)
+        seen += size
         if seen:
             for name, value in gru.p.items():
                 yield pa.RecordBatch.from_arrays(
@@ -403,7 +415,7 @@ def score_documents(documents: DataFrame, rounds: int = ROUNDS, id_col: str = "d
                 if r["known"].is_valid:
                     pairs = r["known"].values
                     c[pairs.field("place").to_numpy()] = pairs.field("c").to_numpy()
-                tokens = np.frombuffer(r["tokens"].as_py(), "<u4")
+                tokens = _places(r["tokens"].as_py(), sizes)
                 starts = np.cumsum(sizes) - sizes
                 logc = np.log10(c + SMOOTH)
                 rare = np.where(of >= model.v.n, logc - model.v.rare_norm[np.maximum(of - model.v.n, 0)], 0.0)
