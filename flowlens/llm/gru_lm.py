@@ -18,9 +18,10 @@ crc32(id) mod 10 is not 0 are learned from, all texts are scored, whole.
   its end token, so the score is the log probability of the complete document.
 
 Documents are kept as blocks of about ``BLOCK_TOKENS`` tokens or ``BLOCK_WORDS``
-distinct words, whichever comes first: a block's distinct words, and each document's tokens as positions among them.  Counts reach a block
-by a join on (word), with one row per block and distinct word; so no task needs
-the whole vocabulary.
+distinct words, whichever comes first: a block's distinct words, and each document's tokens as positions among them.  The counts of the
+``COMMON`` most frequent tokens (a fixed number) are broadcast; all others reach a
+block by a join on the word, with one row per block and distinct word; so no task
+needs the whole vocabulary.
 
 Cases: a null or empty text is the end token alone; texts may be of any length;
 a null id is learned from; repeated rows are scored alike; an empty table gives
@@ -47,6 +48,7 @@ FREQUENT, CLASSES, RARE = 1024, 32, 32
 HIDDEN, STREAMS, WINDOW = 16, 192, 16
 ROUNDS, RATE, WARM_UP, STRETCH = 4, 0.006, 30, 512
 BLOCK_TOKENS, BLOCK_WORDS = 1_000_000, 45_000   # positions among a block's words mostly fit 16 bits
+COMMON = 50_000                   # so many tokens' counts are broadcast; the others' are joined
 SMOOTH = 0.1
 
 
@@ -285,22 +287,26 @@ def count_words(docs: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def make_blocks(docs: DataFrame, vocabulary) -> DataFrame:
-    """One row per block: its distinct words and their symbols, its documents' ids,
-    lengths and tokens (positions among the words)."""
+def make_blocks(docs: DataFrame, vocabulary, common) -> DataFrame:
+    """One row per block: the symbols of its distinct words, their counts if they
+    are common, the others with their positions, its documents' ids, lengths and
+    tokens (positions among the words)."""
     kind = docs.schema["id"].dataType.simpleString()
-    names = ["block", "words", "symbols", "ids", "held_out", "sizes", "tokens"]
+    names = ["block", "words", "places", "counts", "symbols", "ids", "held_out", "sizes", "tokens"]
 
     def run(batches):
-        v, number = vocabulary.value, 0
+        v, number, of_common = vocabulary.value, 0, common.value
         base = TaskContext.get().partitionId() << 32
         place: dict[bytes, int] = {}
         ids, held, sizes, parts, total, held_type = [], [], [], [], 0, pa.int64()
 
         def row():
             symbols = np.fromiter(map(v.of, place), np.uint16, len(place))
+            counts = np.fromiter((of_common.get(w, 0) for w in place), np.int64, len(place))
+            other = [(w, k) for (w, k), c in zip(place.items(), counts.tolist()) if not c]
             return pa.RecordBatch.from_arrays([
-                pa.array([base + number], pa.int64()), pa.array([list(place)], pa.list_(pa.binary())),
+                pa.array([base + number], pa.int64()), pa.array([[w for w, _ in other]], pa.list_(pa.binary())),
+                pa.array([[k for _, k in other]], pa.list_(pa.int32())), pa.array([counts.tobytes()], pa.binary()),
                 pa.array([symbols.tobytes()], pa.binary()), pa.array([ids], pa.list_(held_type)),
                 pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())),
                 pa.array([np.concatenate(parts).astype("<u2" if len(place) <= 65_536 else "<u4").tobytes()], pa.binary())],
@@ -322,7 +328,7 @@ def make_blocks(docs: DataFrame, vocabulary) -> DataFrame:
             yield row()
 
     return docs.select("id", "held_out", "text").mapInArrow(
-        run, f"block long, words array<binary>, symbols binary, ids array<{kind}>, held_out array<boolean>, "
+        run, f"block long, words array<binary>, places array<int>, counts binary, symbols binary, ids array<{kind}>, held_out array<boolean>, "
              "sizes array<int>, tokens binary")
 
 
@@ -379,7 +385,8 @@ def score_documents(documents: DataFrame, rounds: int = ROUNDS, id_col: str = "d
     counts = materialize(count_words(docs), "lm-counts")
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, kinds = sums["n"] or 0, sums["v"]
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()]
+    common = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(COMMON).collect()]
+    top = common[:FREQUENT]
     ending = F.crc32(F.substring("word", -3, 3)) % RARE
     rare_total, rare_kinds = np.zeros(RARE), np.zeros(RARE)
     for r in counts.groupBy(ending.alias("r")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")).collect():
@@ -389,7 +396,8 @@ def score_documents(documents: DataFrame, rounds: int = ROUNDS, id_col: str = "d
         rare_kinds[rare_class(w)] -= 1
     vocabulary = Vocabulary(top, rare_total, rare_kinds)
 
-    blocks = materialize(make_blocks(docs, spark.sparkContext.broadcast(vocabulary)), "lm-blocks")
+    share = spark.sparkContext.broadcast
+    blocks = materialize(make_blocks(docs, share(vocabulary), share(dict(common))), "lm-blocks")
     gru = Gru(vocabulary)
     for k in range(rounds):
         # a partition's blocks take turns
@@ -398,7 +406,8 @@ def score_documents(documents: DataFrame, rounds: int = ROUNDS, id_col: str = "d
         if got:
             gru.p = {name: got[name].astype(np.float32).reshape(p.shape) for name, p in gru.p.items()}
 
-    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
+    words = (blocks.select("block", F.explode(F.arrays_zip("places", "words")).alias("z"))
+             .select("block", F.col("z.places").alias("place"), F.col("z.words").alias("word")))
     known = (words.join(counts, "word").groupBy("block")  # at most BLOCK_TOKENS rows a block
              .agg(F.collect_list(F.struct("place", "c")).alias("known")))
     shared = spark.sparkContext.broadcast(pickle.dumps(gru))
@@ -411,7 +420,7 @@ def score_documents(documents: DataFrame, rounds: int = ROUNDS, id_col: str = "d
                 r = {c: batch.column(c)[k] for c in batch.schema.names}
                 symbols, sizes = r["symbols"].as_py(), np.array(r["sizes"].as_py(), np.int64)
                 of = np.frombuffer(symbols, np.uint16).astype(np.int64)
-                c = np.zeros(len(of))
+                c = np.frombuffer(r["counts"].as_py(), np.int64).astype(np.float64)
                 if r["known"].is_valid:
                     pairs = r["known"].values
                     c[pairs.field("place").to_numpy()] = pairs.field("c").to_numpy()
@@ -427,7 +436,7 @@ def score_documents(documents: DataFrame, rounds: int = ROUNDS, id_col: str = "d
                     ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    out = (blocks.select("block", "symbols", "ids", "held_out", "sizes", "tokens").join(known, "block", "left").drop("block")
+    out = (blocks.select("block", "counts", "symbols", "ids", "held_out", "sizes", "tokens").join(known, "block", "left").drop("block")
            .mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known",
                       F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -138,7 +138,10 @@ def test_trigram_queries_are_necessary():
     assert secrets.trigram_query(secrets.BASE_RULES[2]) == []
 
 
-def test_language_model(spark, odd):
+@pytest.mark.parametrize("common", [gru_lm.COMMON, 3])
+def test_language_model(spark, odd, monkeypatch, common):
+    monkeypatch.setattr(gru_lm, "COMMON", common)     # 3: nearly all counts by the join
+    monkeypatch.setattr(gru_lm, "FREQUENT", min(common, gru_lm.FREQUENT))
     rows = gru_lm.score_documents(table(spark, odd), rounds=1).collect()
     assert len(rows) == len(odd)
     docs = [(i, gru_lm.tokens_of(t or "")) for i, t in odd]
