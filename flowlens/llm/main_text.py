@@ -18,7 +18,8 @@ density, depth, links and siblings where a page has no such names.
 Texts: character references decoded, white space of a block made one space,
 blocks in page order joined by two line ends.  Cases: a null or empty page, or
 one without any text, has an empty text; pages may be of any length; unclosed and
-stray tags are taken as they come; without a page to learn from every block of a
+stray tags are taken as they come, and a head without an end tag ends where the
+body begins; without a page to learn from every block of a
 page that is not named as a menu or the like stays; repeated rows are treated
 alike; an empty table gives no rows; other columns are ignored.
 """
@@ -74,6 +75,8 @@ def parse(html: str) -> Page:
     run, links, hidden, at = 0, 0, 0, 0
 
     def text(raw: str) -> None:
+        if hidden and raw and not raw.isspace():
+            leave_head("")
         if raw and not hidden:
             chunks.append((run, stack[-1][1], links > 0, unescape(raw)))
 
@@ -85,6 +88,14 @@ def parse(html: str) -> Page:
             run += tag in BLOCK
         del stack[to:]
 
+    def leave_head(tag: str) -> None:
+        """An open head ends at its first tag or text that is no part of a head."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] == "head":
+                if tag == "body" or (k == len(stack) - 1 and tag != "template"):
+                    pop(k)
+                return
+
     def close(wanted: tuple[str, ...], limits) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in wanted:
@@ -114,6 +125,8 @@ def parse(html: str) -> Page:
                 tail = html.find(">", at)
                 at = tail + 1 if stop and tail >= 0 else len(html)
                 continue
+            if hidden:
+                leave_head(tag)
             if attrs.endswith("/") and tag not in BLOCK:
                 continue
             if tag in BLOCK:

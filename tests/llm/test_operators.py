@@ -379,6 +379,16 @@ def test_broken_markup():
     assert got == ["hi", "a & b\n\nc d", "plain", "x\n\ny", "a\n\nb\n\nc", "a bc\n\nd", "", "", "q", "deep"]
 
 
+def test_a_head_without_end_tag_ends_at_the_body():
+    head = "<!doctype html><html><head><meta charset=utf-8><title>t</title><style>s</style>"
+    got = main_text.extract_many([head + s for s in (
+        "<body><p>a</p>", "<p>a</p>", "<div><p>a</div>", "<a href=x>a</a>", "\n a", "<template><p>no</template><body><p>a",
+        "<template><p>no<body><p>a", "</head><body><p>a", "<template><p>no</template></head><body><p>a")], None)
+    assert got == ["a"] * len(got)
+    own = main_text.labels(main_text.parse(head + "<body><article><p>a</article>"))
+    assert own.sum() == 2
+
+
 def test_choices_never_contradict():
     rng = np.random.default_rng(9)
     p = main_text.parse("<div><p>a</p><div><p>b</p><p>c</p></div></div><p>d</p>")
