@@ -55,6 +55,8 @@ BAD_NAMES = frozenset("""ad ads advert adverts advertisement banner sponsor spon
     breadcrumb breadcrumbs header footer sidebar side aside widget related share sharing social comment comments reply
     replies cookie cookies consent notice notices alert popup modal newsletter subscribe signup login form search tags
     pagination pager copyright disclaimer toolbar complementary contentinfo""".split())
+#: Names of an article among the good ones, and of comments among the bad ones.
+ITEM_NAMES, COMMENT_NAMES = frozenset(("article", "entry", "post", "story")), frozenset("comment comments reply replies".split())
 TAGS = ("p", "h", "li", "div", "section", "td", "ul", "pre", "blockquote", "body", *GOOD_TAGS, *BAD_TAGS)
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
                     r"|<([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -211,17 +213,31 @@ def features(page: Page, shown: np.ndarray | None = None) -> np.ndarray:
     return np.column_stack([*columns, kind[:, None] == np.arange(len(TAGS)), kind[top][:, None] == np.arange(len(TAGS))])
 
 
+def own_header(tag: str, names: frozenset) -> bool:
+    """Whether an element inside an article is its header, and is named as nothing else bad."""
+    return (tag == "header" or (tag not in BAD_TAGS and not ITEM_NAMES.isdisjoint(names))) and names & BAD_NAMES <= {"header"}
+
+
+def spared(page: Page) -> np.ndarray:
+    """Elements whose bad names tell of the page's layout: html and body, the only main
+    of a page, and an article without another article or main (unless it is a comment)."""
+    mains, articles = page.tags.count("main"), page.tags.count("article")
+    return np.array([t in ("html", "body") or (t == "main" and mains == 1)
+                     or (t == "article" and mains + articles == 1 and COMMENT_NAMES.isdisjoint(n))
+                     for t, n in zip(page.tags, page.names)])
+
+
 def labels(page: Page) -> np.ndarray | None:
     """Which elements a page that names its article has as article text."""
     _, good, bad = marks(page)
     if not good.any():
         return None
-    in_good, in_bad = good.copy(), bad & ~good
+    in_good, in_bad = good.copy(), bad & ~spared(page)
     for k in range(1, len(page.tags)):
         p = page.parents[k]
-        # what a part names itself counts from there on, up to an article's own header
+        # a bad name wins over a good one and counts from there on, up to an article's own header
         in_good[k] |= in_good[p]
-        in_bad[k] = (in_bad[k] and not (page.tags[k] == "header" and in_good[p])) or in_bad[p]
+        in_bad[k] = (in_bad[k] and not (in_good[p] and own_header(page.tags[k], page.names[k]))) or in_bad[p]
     return in_good & ~in_bad
 
 

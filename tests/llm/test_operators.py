@@ -389,6 +389,24 @@ def test_a_head_without_end_tag_ends_at_the_body():
     assert own.sum() == 2
 
 
+def test_a_bad_name_wins_over_a_good_one():
+    def learned(html):
+        p = main_text.parse(html)
+        return main_text.text_of(p, main_text.labels(p)).split()
+
+    for names in ("main-nav", "main-menu", "entry-footer", "post-navigation", "sidebar-content", "ad-content", "comment-body"):
+        assert learned(f"<article><p>a</p><div class='{names}'><p>no</p><div class=text>no</div></div><p>b</article>") == ["a", "b"]
+        assert learned(f"<nav class='{names}'>no</nav><article><p>a</article>") == ["a"]
+    assert learned("<main><article class=post><p>a</p></article><article class=comment><p>no</p><article class='comment reply'>"
+                   "<div class=comment-body><p>no</p></div></article></article></main>") == ["a"]
+    assert learned("<div class=post-text>a</div><article class=comment>no</article>") == ["a"]
+    # an article's own header, and names that tell of the page's layout
+    assert learned("<article><header class=entry-header><h1>t</h1></header><div class=post-header>u</div><p>a</article>") == ["t", "u", "a"]
+    assert learned("<article><header class=entry-nav>no</header><p>a</article>") == ["a"]
+    assert learned("<body class='post with-sidebar'><main class=no-sidebar><article><p>a</article></main>") == ["a"]
+    assert learned("<article class='post has-sidebar'><p>a</article><nav class=main-nav>no</nav>") == ["a"]
+
+
 def test_choices_never_contradict():
     rng = np.random.default_rng(9)
     p = main_text.parse("<div><p>a</p><div><p>b</p><p>c</p></div></div><p>d</p>")
