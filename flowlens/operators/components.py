@@ -23,7 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.operators.store import TableStore
+from flowlens.operators.neighbors import knn
+from flowlens.operators.store import TableStore, materialize
+
+# The reference's neighbour counts.
+CONNECT_KS = tuple(range(30, 401, 20))
 
 
 def _roots(hook: DataFrame, store: TableStore) -> DataFrame:
@@ -62,3 +66,29 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, sr
 
 def count_components(labels: DataFrame) -> int:
     return labels.select("component").distinct().count()
+
+
+def connect_until_one(points: DataFrame, col: str, key: str, ks=CONNECT_KS) -> tuple[list[tuple[int, int]], DataFrame]:
+    """Neighbour graphs of growing k until one has a single component (CLU-11).
+
+    Returns (k, components) of every k tried and the last graph's edges (i, j, dist,
+    rank); if no k connects the points, the last k's, as its components tell.  The
+    neighbours are computed once, at the largest k; each further k only adds its new
+    edges between the components so far."""
+    ks = sorted(ks)
+    nn = materialize(knn(points, col, key, ks[-1], include_self=False), "knn")
+    rows, labels = [], None
+    for last, k in zip([0, *ks], ks):
+        if labels is None:
+            labels = connected_components(nn.where(F.col("rank") <= k), points.select(F.col(key).alias("id")), "i", "j", "id")
+        else:
+            a = labels.select(F.col("id").alias("i"), F.col("component").alias("a"))
+            b = labels.select(F.col("id").alias("j"), F.col("component").alias("b"))
+            new = nn.where((F.col("rank") > last) & (F.col("rank") <= k)).join(a, "i").join(b, "j").where("a <> b")
+            merged = connected_components(new.select("a", "b"), labels.select(F.col("component").alias("was")), "a", "b", "was")
+            labels = materialize(labels.join(merged.withColumnRenamed("component", "now"), F.col("component") == F.col("was"))
+                                 .select("id", F.col("now").alias("component")), "connect")
+        rows.append((k, count_components(labels)))
+        if rows[-1][1] <= 1:
+            break
+    return rows, nn.where(F.col("rank") <= rows[-1][0])

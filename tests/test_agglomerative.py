@@ -52,3 +52,38 @@ def test_chain_of_doubling_gaps_merges_to_one(spark):
     merges, _ = agglomerative.dendrogram(pts, "v", "id", edges, "complete")
     assert merges.count() == n - 1
     assert agglomerative.cut(pts, "id", merges, 2).select("cluster").distinct().count() == 2
+
+
+def test_neighbours_are_added_until_one_component(spark):
+    from flowlens.operators import components
+    rng = np.random.default_rng(2)
+    sizes = (12, 15, 40)
+    X = np.vstack([rng.normal(size=(m, 2)) + 100 * c for c, m in enumerate(sizes)])
+    pts = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(X)], "id long, vec array<double>")
+    order = np.argsort(((X[:, None] - X[None]) ** 2).sum(2) + np.diag([np.inf] * len(X)), axis=1, kind="stable")
+
+    def parts(k):
+        label = np.arange(len(X))
+        for _ in X:
+            for i, js in enumerate(order[:, :k]):
+                label[[i, *js]] = label[[i, *js]].min()
+        return len(set(label.tolist()))
+
+    want = [(k, parts(k)) for k in (3, 11, 12, 13, 15, 20)]
+    assert want[1] == (11, 3)
+    stop = next(at for at, (_, n) in enumerate(want) if n == 1) + 1
+    rows, graph = components.connect_until_one(pts, "vec", "id", (3, 11, 12, 13, 15, 20))
+    assert rows == want[:stop] and stop < len(want)
+    assert graph.count() == rows[-1][0] * len(X)
+    rows, graph = components.connect_until_one(pts, "vec", "id", (3, 11))
+    assert rows == want[:2] and graph.count() == 11 * len(X)
+    assert components.CONNECT_KS == tuple(range(30, 401, 20))
+
+
+def test_a_graph_of_more_components_than_clusters_is_no_cut(spark):
+    pts = spark.createDataFrame([(k, [float(k)]) for k in range(6)], "id long, v array<double>")
+    edges = spark.createDataFrame([(0, 1), (2, 3), (4, 5)], "i long, j long")
+    merges, _ = agglomerative.dendrogram(pts, "v", "id", edges, "ward")
+    assert agglomerative.cut(pts, "id", merges, 3).select("cluster").distinct().count() == 3
+    with pytest.raises(ValueError, match="3 components"):
+        agglomerative.cut(pts, "id", merges, 2)
