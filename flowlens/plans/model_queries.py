@@ -266,8 +266,10 @@ def q_calinski_harabasz(spark, sf_dir):
 # ---- SUP-1..3, 7; SPL-4 ------------------------------------------------------------
 from flowlens.operators import classify  # noqa: E402
 
-FOREST = dict(num_trees=20, max_depth=12, seed=10000)
+FOREST = dict(num_trees=150, max_depth=classify.MAX_DEPTH, seed=10000)
 SUP_TARGETS = ["cluster", "type", "label"]
+CV_FOLDS = 10
+SWEEP_KS = range(2, 61)
 SUP_EXCLUDE = ["flow_id", "cluster", "y_pred", "ts"]
 
 
@@ -284,21 +286,23 @@ def q_forest_metrics(spark, sf_dir):
 
 @query("grouped_cv")
 def q_grouped_cv(spark, sf_dir):
-    """Grouped 3-fold CV macro-F1 of the type forest on the train split (SPL-4)."""
+    """Grouped 10-fold CV macro-F1 of each target's forest on the train split (SPL-4)."""
     df = flows(spark, sf_dir).where("split = 'train'")
-    folded = splits.group_folds(df, "type", k=3, seed=10000)
-    mean, std, scores = classify.grouped_cv(
-        folded, "type", lambda: classify.SupervisedPreprocessor(exclude=SUP_EXCLUDE + ["grp", "fold"]), k=3, **FOREST)
-    return spark.createDataFrame([(float(mean), float(std), len(scores))],
-                                 "macroF1_mean double, macroF1_std double, n_folds int")
+    rows = []
+    for target in SUP_TARGETS:
+        folded = splits.group_folds(df, target, k=CV_FOLDS, seed=10000)
+        mean, std, scores = classify.grouped_cv(
+            folded, target, lambda: classify.SupervisedPreprocessor(exclude=SUP_EXCLUDE + ["grp", "fold"]), k=CV_FOLDS, **FOREST)
+        rows.append((target, float(mean), float(std), len(scores)))
+    return spark.createDataFrame(rows, "target string, macroF1_mean double, macroF1_std double, n_folds int")
 
 
 @query("kmeans_sweep")
 def q_kmeans_sweep(spark, sf_dir):
-    """k = 2..6 on the flow embedding, one metric row per k (CLU-4, EVA-1..10)."""
+    """k = 2..60 on the flow embedding, one metric row per k (CLU-4, EVA-1..10)."""
     from flowlens.plans.exploratory import kmeans_sweep
     _, _, z = _embedded(spark, sf_dir, keep=("flow_id", "type", "label"))
-    return kmeans_sweep(z, range(2, 7), n_init=2, silhouette_n=5000)
+    return kmeans_sweep(z, SWEEP_KS, n_init=10, silhouette_n=5000)
 
 
 @query("two_phase_external")
@@ -306,7 +310,7 @@ def q_two_phase_external(spark, sf_dir):
     """End-to-end unsupervised phase (own split, embedding, k-means k=30) and
     its external scores per split x target (N2 section 4)."""
     from flowlens.plans import two_phase
-    art, _, _ = two_phase.unsupervised(flows(spark, sf_dir), k=30, n_components=50, n_init=3,
+    art, _, _ = two_phase.unsupervised(flows(spark, sf_dir), k=30, n_components=50, n_init=10,
                                        exclude=("cluster", "y_pred"))
     return two_phase.external_by_split(art)
 
@@ -317,4 +321,4 @@ def q_dbscan_sweep(spark, sf_dir):
     embedding, one metric row each with _all / _no_noise scores (CLU-13, EVA-10)."""
     from flowlens.plans.exploratory import dbscan_sweep
     _, _, z = _embedded(spark, sf_dir, keep=("flow_id", "type", "label"))
-    return dbscan_sweep(z, min_samples=(10,), silhouette_n=5000)
+    return dbscan_sweep(z, min_samples=(10, 20, 30), silhouette_n=5000)

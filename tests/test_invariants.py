@@ -295,3 +295,26 @@ def test_grouped_cv_fits_inside_the_fold(spark):
     assert "only-in-fold-0" not in seen[0] and all("only-in-fold-0" in s for s in seen[1:])
     with pytest.raises(ValueError):
         classify.grouped_cv(df, "type", lambda: Watched(exclude=["flow_id", "fold", "type"]), k=4, num_trees=3, max_depth=3)
+
+
+def test_registered_sweeps_have_the_reference_sizes(monkeypatch):
+    from types import SimpleNamespace as Some
+    from flowlens.operators import classify
+    from flowlens.plans import exploratory, model_queries, two_phase
+    seen, made = {}, []
+    frame = Some(where=lambda *_: frame)
+    spark_ = Some(createDataFrame=lambda rows, _: made.extend(rows))
+    monkeypatch.setattr(model_queries, "_embedded", lambda *_, **__: (None, None, frame))
+    monkeypatch.setattr(model_queries, "flows", lambda *_: frame)
+    monkeypatch.setattr(exploratory, "kmeans_sweep", lambda z, ks, **kw: seen.update(ks=list(ks), **kw))
+    monkeypatch.setattr(exploratory, "dbscan_sweep", lambda z, **kw: seen.update(**kw))
+    monkeypatch.setattr(two_phase, "unsupervised", lambda df, **kw: seen.update(two=kw) or (frame, None, None))
+    monkeypatch.setattr(two_phase, "external_by_split", lambda art: art)
+    monkeypatch.setattr(splits, "group_folds", lambda df, target, k, seed: target)
+    monkeypatch.setattr(classify, "grouped_cv", lambda df, target, pre, k, **kw: seen.update(cv=kw) or (1.0, 0.0, [1.0] * k))
+    for name in ("kmeans_sweep", "dbscan_sweep", "two_phase_external", "grouped_cv"):
+        getattr(model_queries, f"q_{name}")(spark_, "")
+    assert seen["ks"] == list(range(2, 61)) and seen["n_init"] == seen["two"]["n_init"] == 10
+    assert seen["min_samples"] == (10, 20, 30)
+    assert made == [(t, 1.0, 0.0, 10) for t in ("cluster", "type", "label")]
+    assert seen["cv"] == model_queries.FOREST == {"num_trees": 150, "max_depth": 30, "seed": 10000}
