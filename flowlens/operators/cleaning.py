@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.columns import LEAK_COLUMNS
+from flowlens.operators.store import value_ranks, values_at
 
 
 def drop_leaks(df: DataFrame, extra=()) -> DataFrame:
@@ -44,9 +45,10 @@ def exact_median(df: DataFrame, col: str, accuracy: int = 10000) -> float | None
 
     1. ``percentile_approx`` brackets the middle ranks (rank error <= n/accuracy).
     2. One pass counts rows below the bracket and rows inside it.
-    3. Only the rows inside the bracket (about 2n/accuracy) are sorted to read
-       the two middle order statistics.  If the bracket misses, the whole
-       non-null column is used instead (still exact).
+    3. A bracket of one value is the median.  Otherwise the values inside it are
+       counted by value, and the two middle ranks are read from the cumulated
+       counts, so a value that many rows share is one row.  If the bracket
+       misses, the whole non-null column is used instead (still exact).
     """
     x = F.col(col).cast("double")
     vals = df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
@@ -65,12 +67,13 @@ def exact_median(df: DataFrame, col: str, accuracy: int = 10000) -> float | None
                    ).first()
     below, inside = cnt["below"] or 0, cnt["inside"] or 0
     if below <= r0 and r1 < below + inside:
-        sub, off = vals.where((F.col("v") >= lo) & (F.col("v") <= hi)), r0 - below
+        if lo == hi:
+            return lo
+        sub, off = vals.where((F.col("v") >= lo) & (F.col("v") <= hi)), below
     else:
-        sub, off = vals, r0
-    rows = sub.orderBy("v").offset(off).limit(2).collect()
-    a = rows[0]["v"]
-    b = rows[1]["v"] if (r1 != r0 and len(rows) > 1) else a
+        sub, off = vals, 0
+    found = values_at(value_ranks(sub, "v")[0], (r0 - off, r1 - off))
+    a, b = found[r0 - off], found[r1 - off]
     return a + (b - a) * (k - r0)
 
 

@@ -39,6 +39,35 @@ def global_rank(df: DataFrame, order_cols, out: str = "rank", partitions: int |
             .withColumn(out, F.col("_lr") + F.col("_off")).drop("_pid", "_lr", "_off"))
 
 
+def value_ranks(df: DataFrame, col: str, partitions: int | None = None) -> tuple[DataFrame, int]:
+    """(value, first, last): the 0-based ranks that each distinct value of ``col`` takes
+    in order, and the number of values; nulls don't count.  Equal values are one counted
+    row, so no task or driver gets more of a value that many rows share."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("_n"))
+    s = counts.repartitionByRange(n, "value").withColumn("_pid", F.spark_partition_id())
+    local = materialize(s.withColumn("_to", F.sum("_n").over(Window.partitionBy("_pid").orderBy("value"))), "ranks")
+    # one row per partition
+    sums = {r["_pid"]: r["s"] for r in local.groupBy("_pid").agg(F.sum("_n").alias("s")).collect()}
+    offsets, total = [], 0
+    for pid in sorted(sums):
+        offsets.append((pid, total))
+        total += sums[pid]
+    offs = df.sparkSession.createDataFrame(offsets, "_pid int, _off long")
+    last = F.col("_off") + F.col("_to") - 1
+    return local.join(F.broadcast(offs), "_pid").select("value", (last - F.col("_n") + 1).alias("first"), last.alias("last")), total
+
+
+def values_at(ranked: DataFrame, ranks) -> dict[int, float]:
+    """The values at a few 0-based ranks of ``value_ranks``."""
+    ranks = sorted(set(ranks))
+    if not ranks:
+        return {}
+    held = F.filter(F.array(*[F.lit(r) for r in ranks]), lambda r: (r >= F.col("first")) & (r <= F.col("last")))
+    rows = ranked.select("value", F.explode(held).alias("r")).collect()
+    return {r["r"]: r["value"] for r in rows}
+
+
 def materialize(df: DataFrame, prefix: str = "tmp") -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 

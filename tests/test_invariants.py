@@ -318,3 +318,25 @@ def test_registered_sweeps_have_the_reference_sizes(monkeypatch):
     assert seen["min_samples"] == (10, 20, 30)
     assert made == [(t, 1.0, 0.0, 10) for t in ("cluster", "type", "label")]
     assert seen["cv"] == model_queries.FOREST == {"num_trees": 150, "max_depth": 30, "seed": 10000}
+
+
+def test_median_and_eps_of_shared_values_bring_no_rows_together(spark, monkeypatch):
+    """A value of most rows is one counted row; no sorted run, no exact percentile."""
+    def refuse(*_, **__):
+        raise AssertionError("rows of a column in one place")
+
+    monkeypatch.setattr(type(spark.range(1)), "offset", refuse)
+    monkeypatch.setattr(F, "percentile", refuse)
+    rng = np.random.default_rng(6)
+    cases = [[7.0] * 300 + list(range(150)), [1.0] * 50 + [2.0] * 50, [None, 3.0], [0.5] * 9, [1.0] * 51 + [9.0] * 50,
+             rng.normal(size=501), rng.integers(0, 4, 400) / 3]
+    for x in cases:
+        df = spark.createDataFrame([(None if v is None else float(v),) for v in x], "v double").repartition(3)
+        x = np.array([v for v in x if v is not None], float)
+        for accuracy in (4, 50, 10000):
+            assert cleaning.exact_median(df, "v", accuracy=accuracy) == pytest.approx(float(np.median(x)))
+        got = sorted(r.eps for r in dbscan.eps_candidates(df.withColumnRenamed("v", "kdist"), digits=9).collect())
+        assert got == pytest.approx(sorted(set(np.quantile(x, dbscan.EPS_QUANTILES).round(9).tolist())))
+    empty = spark.createDataFrame([], "v double")
+    assert cleaning.exact_median(empty, "v") is None
+    assert dbscan.eps_candidates(empty.withColumnRenamed("v", "kdist")).count() == 0
