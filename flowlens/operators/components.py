@@ -73,12 +73,14 @@ def connect_until_one(points: DataFrame, col: str, key: str, ks=CONNECT_KS) -> t
 
     Returns (k, components) of every k tried and the last graph's edges (i, j, dist,
     rank); if no k connects the points, the last k's, as its components tell.  The
-    neighbours are computed once, at the largest k; each further k only adds its new
-    edges between the components so far."""
+    neighbours are computed at the first k and, if that does not connect the points, once
+    more at the largest; each further k only adds its new edges between the components
+    so far."""
     ks = sorted(ks)
-    nn = materialize(knn(points, col, key, ks[-1], include_self=False), "knn")
     rows, labels = [], None
     for last, k in zip([0, *ks], ks):
+        if last in (0, ks[0]):
+            nn = materialize(knn(points, col, key, ks[-1] if last else k, include_self=False), "knn")
         if labels is None:
             labels = connected_components(nn.where(F.col("rank") <= k), points.select(F.col(key).alias("id")), "i", "j", "id")
         else:
