@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from flowlens.llm import bit_topk, gru_lm, jaccard, main_text, packing, piece_fst, quality, secrets, token_counts, urls
+from flowlens.llm import bit_topk, fill_middle, gru_lm, jaccard, main_text, packing, piece_fst, quality, secrets, token_counts, urls
 from flowlens.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,31 @@ from d
 @query("op10_url_filter", URLS_SQL)
 def op10(table):
     return urls.filter_urls(table("pages")).drop("n_candidates")
+
+
+# --- 13: fill-in-middle transformation -----------------------------------------------
+_DRAW = "('0x' || substr(h, {}, 8))::bigint"
+FILL_SQL = f"""
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n,
+             sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+e as (select *, {_DRAW.format(1)} % (n + 1) as x, {_DRAW.format(9)} % (n + 1) as y, {_DRAW.format(17)} % 100 as u,
+        {_DRAW.format(25)} % 100 as w from d),
+f as (select doc_id, t, n, least(x, y) as a, greatest(x, y) as b,
+        case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or u >= 90 then 'plain'
+             when w < 20 then 'spm' else 'psm' end as form from e),
+g as (select *, substr(t, 1, a) as p, substr(t, a + 1, b - a) as m, substr(t, b + 1) as s from f)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars,
+  case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+                   when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else t end) as output_sha256,
+  sha256(t) as restored_sha256
+from g
+"""
+
+
+@query("op13_fill_in_middle", FILL_SQL)
+def op13(table):
+    out = fill_middle.fill_in_middle(table("documents"))
+    return out.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"),
+                      F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2("restored", 256).alias("restored_sha256"))
