@@ -304,6 +304,9 @@ def fold(node, functions: dict, known: dict):
         return Choice(tuple(cases), node.block)
     if isinstance(node, Put):
         value = fold(node.value, functions, known)
+        escaped = isinstance(node.value, Apply) and node.value.what == "escape"
+        if not escaped:
+            functions["literal"](value)
         return Put(Const(text_of(value.value)) if isinstance(value, Const) else value)
     if isinstance(node, Assign):
         return Assign(node.name, fold(node.value, functions, known))
@@ -413,32 +416,23 @@ class Template:
         self.escape = lambda text: escape.sub(lambda m: m[0] + "\\", text_of(text))
         self.unescape = lambda text: unescape.sub(lambda m: m[0][0], text)
         self.control = re.compile("|".join(map(re.escape, sorted(controls, key=len, reverse=True))))
-        functions = {**FUNCTIONS, "escape": self.escape}
+        functions = {**FUNCTIONS, "escape": self.escape, "literal": self._literal}
         nodes, _ = Parser(source).block((), top=True)
         self.tree = fold_block(nodes, functions, {})
         loops = [k for k, n in enumerate(self.tree) if isinstance(n, Loop)]
         if len(loops) != 1:
             raise TemplateError("a template has one loop over the messages")
-        self._literals(self.tree)
         k = loops[0]
         self._head = block_closure(self.tree[:k], functions)
         self._turn = block_closure(self.tree[k].body, functions)
         self._tail = block_closure(self.tree[k + 1:], functions)
 
-    def _literals(self, nodes: tuple) -> None:
-        """Literal text is made of control strings and white space; values are escaped."""
-        for node in nodes:
-            if isinstance(node, Put):
-                if isinstance(node.value, Const):
-                    if self.control.sub("", node.value.value).strip():
-                        raise TemplateError(f"{node.value.value!r} is more than declared control strings")
-                elif not (isinstance(node.value, Apply) and node.value.what == "escape"):
-                    raise TemplateError("a value that is put out ends in the filter escape")
-            elif isinstance(node, Choice):
-                for _, body in node.cases:
-                    self._literals(body)
-            elif isinstance(node, (Mask, Loop)):
-                self._literals(node.body)
+    def _literal(self, value) -> None:
+        """What is put out unescaped is made of control strings and white space."""
+        if not isinstance(value, Const):
+            raise TemplateError("a value that is put out ends in the filter escape")
+        if self.control.sub("", text_of(value.value)).strip():
+            raise TemplateError(f"{value.value!r} is more than declared control strings")
 
     def piece(self, turns: list[tuple[str, str]], first: int, total: int) -> tuple[str, list[tuple[int, int]]]:
         """Text and loss spans (code points) of turns (role, text) from number ``first`` on
@@ -580,7 +574,6 @@ def read_back(formatted: DataFrame, source: str = TEMPLATE, controls: tuple[str,
     done where it lies; of the others each piece is reduced to the bytes that the two
     digests take, which follow one another in a single stream: that is SHA-256's nature."""
     kind = formatted.schema["conv"].dataType.simpleString()
-    schema = f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def read(text, spans, template):
@@ -589,43 +582,40 @@ def read_back(formatted: DataFrame, source: str = TEMPLATE, controls: tuple[str,
         return (len(turns), "".join(f"{r}\n{t}\n" for r, t in turns).encode(), sum(map(len, loss)),
                 "".join(loss).encode(), len(text))
 
-    def digest(batches):
-        template = Template(source, controls)
-        for batch in batches:
-            got = [read(t, s, template) for t, s in zip(*(batch.column(c).to_pylist() for c in ("text", "spans")))]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("conv"), pa.array([g[0] for g in got], pa.int64()),
-                pa.array([sha256(g[1]).hexdigest() for g in got], pa.string()), pa.array([g[2] for g in got], pa.int64()),
-                pa.array([sha256(g[3]).hexdigest() for g in got], pa.string()), pa.array([g[4] for g in got], pa.int64())], names)
-
     def reduce(batches):
+        """Digests of whole conversations, the bytes of pieces."""
         template = Template(source, controls)
         for batch in batches:
+            whole = [n == t for n, t in zip(batch.column("n_turns").to_pylist(), batch.column("total").to_pylist())]
             got = [read(t, s, template) for t, s in zip(*(batch.column(c).to_pylist() for c in ("text", "spans")))]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("conv"), batch.column("first"), batch.column("total"), *[
-                    pa.array([g[k] for g in got], t) for k, t in enumerate(
-                        (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64()))]],
-                ["conv", "first", "total", "n_turns", "turns", "loss_chars", "loss", "chars"])
+            data = lambda k: pa.array([sha256(g[k]).hexdigest().encode() if w else g[k] for g, w in zip(got, whole)], pa.binary())
+            number = lambda k: pa.array([g[k] for g in got], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("conv"), batch.column("first"), batch.column("total"),
+                                              number(0), data(1), number(2), data(3), number(4)],
+                                             ["conv", "first", "total", "n_turns", "turns", "loss_chars", "loss", "chars"])
 
     def stream(batches):
         """A conversation's pieces follow one another; only digests and sums are held."""
         at = None
         for batch in batches:
+            out = []
             rows = [batch.column(c).to_pylist() for c in ("conv", "first", "total", "n_turns", "turns", "loss_chars", "loss", "chars")]
             for conv, first, total, n, turns, loss_chars, loss, chars in zip(*rows):
+                if n == total:
+                    out.append((conv, n, turns.decode(), loss_chars, loss.decode(), chars))
+                    continue
                 if first == 0:
                     at = [0, sha256(), 0, sha256(), 0]
                 at[0], at[2], at[4] = at[0] + n, at[2] + loss_chars, at[4] + chars
                 at[1].update(turns)
                 at[3].update(loss)
                 if first + n == total:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([conv], batch.schema.field("conv").type), pa.array([at[0]], pa.int64()),
-                        pa.array([at[1].hexdigest()]), pa.array([at[2]], pa.int64()), pa.array([at[3].hexdigest()]),
-                        pa.array([at[4]], pa.int64())], names)
+                    out.append((conv, at[0], at[1].hexdigest(), at[2], at[3].hexdigest(), at[4]))
+            if out:
+                types = (batch.schema.field("conv").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    whole = formatted.where("n_turns = total").mapInArrow(digest, schema)
-    parts = formatted.where("n_turns < total").mapInArrow(
+    parts = formatted.select("conv", "first", "n_turns", "total", "text", "spans").mapInArrow(
         reduce, f"conv {kind}, first long, total long, n_turns long, turns binary, loss_chars long, loss binary, chars long")
-    return whole.unionByName(parts.repartition("conv").sortWithinPartitions("conv", "first").mapInArrow(stream, schema))
+    return parts.repartition("conv").sortWithinPartitions("conv", "first").mapInArrow(
+        stream, f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
