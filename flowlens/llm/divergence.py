@@ -43,7 +43,7 @@ from flowlens.operators.store import materialize
 
 SCALE, SMOOTH = 1_000_000_000, 5
 LEAST_DOCUMENTS, TOP_TERMS = 30, 50
-BLOCK_POSTINGS = 500_000
+BLOCK_POSTINGS = 100_000
 TASK_TERMS = 400_000            # (group, term) counts that a task holds before it hands them on
 GATHER = 1_000_000              # postings that a row reads at once
 CHUNK = 1 << 20                 # bytes of a text that are split at once
