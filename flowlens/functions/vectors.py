@@ -6,12 +6,38 @@ algebra (distances, projections) that SQL expressions would run row by row.
 
 from __future__ import annotations
 
+import ctypes
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The names under which linear algebra libraries set their threads.
+_THREAD_SETTERS = ("openblas_set_num_threads", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads",
+                   "scipy_openblas_set_num_threads64_", "MKL_Set_Num_Threads")
+
+
+def one_thread() -> None:
+    """Limit numpy's linear algebra to one thread in this process.  Spark runs a task per
+    core, so more threads only wait for each other; the environment variable comes too
+    late in a worker that has numpy loaded."""
+    if not os.path.exists("/proc/self/maps"):
+        return
+    with open("/proc/self/maps") as f:
+        paths = {line.split()[-1] for line in f if "blas" in line.lower() or "mkl" in line.lower()}
+    for path in paths:
+        if not path.startswith("/"):
+            continue
+        lib = ctypes.CDLL(path)
+        for name in _THREAD_SETTERS:
+            setter = getattr(lib, name, None)
+            if setter is not None:
+                setter(1)
+
+
 def batch_matrix(batch: pa.RecordBatch, col: str, d: int | None = None) -> np.ndarray:
     """``array<double>`` column of a batch as an (n, d) float64 matrix."""
     arr = batch.column(batch.schema.get_field_index(col))

@@ -76,3 +76,10 @@ def materialize(df: DataFrame, prefix: str = "tmp") -> DataFrame:
     whole upstream lineage, which keeps plans, driver memory and recomputation
     small, and a lost executor does not recompute the upstream."""
     return TableStore(df.sparkSession, prefix).save(df)
+
+
+def spread(df: DataFrame, rows: int, row_bytes: int, small: int = 32 << 20) -> DataFrame:
+    """``df`` dealt to every core, where it is too small for its files to be; larger
+    tables have partitions enough and stay as they are.  For passes that compute much."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if rows * row_bytes < cores * small else df

@@ -212,8 +212,8 @@ def q_kmeans_lloyd(spark, sf_dir):
 def q_kmeans_fit(spark, sf_dir):
     """k-means (k=30, best of 10 inits) on the flow embedding; labels for every flow (CLU-1/2)."""
     df, emb, z = _embedded(spark, sf_dir)
-    model, _ = kmeans.fit_kmeans(z.where("split = 'train'"), "emb", k=30, n_init=10)
-    return kmeans.assign(z, "emb", kmeans.centers_of(model), "cluster_kmeans").drop("emb")
+    centers, _ = kmeans.fit_kmeans(z.where("split = 'train'"), "emb", k=30, n_init=10)
+    return kmeans.assign(z, "emb", centers, "cluster_kmeans").drop("emb")
 
 
 # ---- EVA-1..3 --------------------------------------------------------------------
@@ -266,7 +266,7 @@ def q_calinski_harabasz(spark, sf_dir):
 # ---- SUP-1..3, 7; SPL-4 ------------------------------------------------------------
 from flowlens.operators import classify  # noqa: E402
 
-FOREST = dict(num_trees=150, max_depth=classify.MAX_DEPTH, seed=10000)
+FOREST = dict(num_trees=150, seed=10000)
 SUP_TARGETS = ["cluster", "type", "label"]
 CV_FOLDS = 10
 SWEEP_KS = range(2, 61)
@@ -277,8 +277,8 @@ SUP_EXCLUDE = ["flow_id", "cluster", "y_pred", "ts"]
 def q_forest_metrics(spark, sf_dir):
     """Forests for cluster / type / label fit on train, scored on valid and test (SUP-7)."""
     df = flows(spark, sf_dir)
-    pre = classify.SupervisedPreprocessor(exclude=SUP_EXCLUDE).fit(df.where("split = 'train'"))
-    preds = classify.evaluate_targets(pre, df, SUP_TARGETS, **FOREST)
+    design = classify.SupervisedDesign(SUP_TARGETS, SUP_EXCLUDE).fit(df.where("split = 'train'"))
+    preds = classify.evaluate_targets(design, df, **FOREST)
     gm = classify.stacked_metrics(preds)
     return gm.withColumn("target", F.when(F.col("target") == "cluster", "cluster_kmeans30")
                          .otherwise(F.col("target")))
@@ -288,13 +288,14 @@ def q_forest_metrics(spark, sf_dir):
 def q_grouped_cv(spark, sf_dir):
     """Grouped 10-fold CV macro-F1 of each target's forest on the train split (SPL-4)."""
     df = flows(spark, sf_dir).where("split = 'train'")
-    rows = []
+    folds = []
     for target in SUP_TARGETS:
-        folded = splits.group_folds(df, target, k=CV_FOLDS, seed=10000)
-        mean, std, scores = classify.grouped_cv(
-            folded, target, lambda: classify.SupervisedPreprocessor(exclude=SUP_EXCLUDE + ["grp", "fold"]), k=CV_FOLDS, **FOREST)
-        rows.append((target, float(mean), float(std), len(scores)))
-    return spark.createDataFrame(rows, "target string, macroF1_mean double, macroF1_std double, n_folds int")
+        own = splits.group_folds(df, target, k=CV_FOLDS, seed=10000).select("flow_id", F.col("fold").alias(f"fold_{target}"))
+        df = df.join(own, "flow_id")
+        folds.append(f"fold_{target}")
+    rows = classify.grouped_cv(df, SUP_TARGETS, folds, CV_FOLDS, SUP_EXCLUDE, **FOREST)
+    return spark.createDataFrame([(t, mean, std, len(scores)) for t, mean, std, scores in rows],
+                                 "target string, macroF1_mean double, macroF1_std double, n_folds int")
 
 
 @query("kmeans_sweep")

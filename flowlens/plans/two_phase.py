@@ -27,8 +27,7 @@ def unsupervised(df: DataFrame, k: int = 30, n_components: int = 50, n_init: int
     train = sp.where(F.col("split") == "train")
     emb = reduce.FlowEmbedder(k=n_components, exclude=(id_col, *exclude)).fit(train)
     z = materialize(emb.transform(sp, keep=(id_col, "split")), "emb")
-    model, _ = kmeans.fit_kmeans(z.where(F.col("split") == "train"), "emb", k, n_init=n_init, seed=seed)
-    centers = kmeans.centers_of(model)
+    centers, _ = kmeans.fit_kmeans(z.where(F.col("split") == "train"), "emb", k, n_init=n_init, seed=seed, key=id_col)
     lab = kmeans.assign(z, "emb", centers, "cluster_kmeans30").select(id_col, "cluster_kmeans30")
     return sp.join(lab, id_col, "left").fillna({"cluster_kmeans30": -1}), emb, centers
 
@@ -70,9 +69,8 @@ def profile_tables(art: DataFrame, eval_split: str = "test") -> dict[str, DataFr
 
 def supervised(art: DataFrame, targets=("cluster_kmeans30", "type", "label"), id_col: str = "flow_id",
                exclude=(), **forest_kw) -> dict[str, DataFrame]:
-    pre = classify.SupervisedPreprocessor(exclude=(id_col, "grp", *exclude)).fit(
-        art.where(F.col("split") == "train"))
-    preds = classify.evaluate_targets(pre, art, list(targets), **forest_kw)
+    design = classify.SupervisedDesign(targets, exclude=(id_col, "grp", *exclude)).fit(art.where(F.col("split") == "train"))
+    preds = classify.evaluate_targets(design, art, id_col=id_col, **forest_kw)
     conf = reports.confusion(preds, "y", "p", ["target", "split"])
     return {
         "metricas_globais_supervisionadas": reports.global_metrics(conf, ["target", "split"]),
