@@ -281,20 +281,13 @@ def test_grouped_cv_fits_inside_the_fold(spark):
     from flowlens.operators import classify
     rows = [(k, float(k % 7), "only-in-fold-0" if k % 3 == 0 else f"s{k % 2}", f"t{k % 2}", k % 3) for k in range(90)]
     df = spark.createDataFrame(rows, "flow_id long, x double, service string, type string, fold int")
-    seen = []
-
-    class Watched(classify.SupervisedPreprocessor):
-        def fit(self, train):
-            super().fit(train)
-            seen.append({r["value"] for r in self.onehot.mapping.collect()})
-            return self
-
-    mean, _, scores = classify.grouped_cv(df, "type", lambda: Watched(exclude=["flow_id", "fold", "type"], min_frequency=1),
-                                          k=3, num_trees=3, max_depth=3)
-    assert len(scores) == 3 and 0 <= mean <= 1
+    design = classify.SupervisedDesign(["type"], ["flow_id"], 1, ["fold"], 3).fit(df)
+    seen = [{r["v"] for r in design.lookup.collect() if r["states"][f]} for f in range(3)]
     assert "only-in-fold-0" not in seen[0] and all("only-in-fold-0" in s for s in seen[1:])
+    (target, mean, _, scores), = classify.grouped_cv(df, ["type"], ["fold"], 3, ["flow_id"], 1, num_trees=3)
+    assert target == "type" and len(scores) == 3 and 0 <= mean <= 1
     with pytest.raises(ValueError):
-        classify.grouped_cv(df, "type", lambda: Watched(exclude=["flow_id", "fold", "type"]), k=4, num_trees=3, max_depth=3)
+        classify.grouped_cv(df, ["type"], ["fold"], 4, ["flow_id"], num_trees=3)
 
 
 def test_registered_sweeps_have_the_reference_sizes(monkeypatch):
@@ -302,7 +295,7 @@ def test_registered_sweeps_have_the_reference_sizes(monkeypatch):
     from flowlens.operators import classify
     from flowlens.plans import exploratory, model_queries, two_phase
     seen, made = {}, []
-    frame = Some(where=lambda *_: frame)
+    frame = Some(where=lambda *_: frame, select=lambda *_: frame, join=lambda *_: frame)
     spark_ = Some(createDataFrame=lambda rows, _: made.extend(rows))
     monkeypatch.setattr(model_queries, "_embedded", lambda *_, **__: (None, None, frame))
     monkeypatch.setattr(model_queries, "flows", lambda *_: frame)
@@ -310,14 +303,15 @@ def test_registered_sweeps_have_the_reference_sizes(monkeypatch):
     monkeypatch.setattr(exploratory, "dbscan_sweep", lambda z, **kw: seen.update(**kw))
     monkeypatch.setattr(two_phase, "unsupervised", lambda df, **kw: seen.update(two=kw) or (frame, None, None))
     monkeypatch.setattr(two_phase, "external_by_split", lambda art: art)
-    monkeypatch.setattr(splits, "group_folds", lambda df, target, k, seed: target)
-    monkeypatch.setattr(classify, "grouped_cv", lambda df, target, pre, k, **kw: seen.update(cv=kw) or (1.0, 0.0, [1.0] * k))
+    monkeypatch.setattr(splits, "group_folds", lambda df, target, k, seed: frame)
+    monkeypatch.setattr(classify, "grouped_cv", lambda df, targets, folds, k, exclude, **kw:
+                        seen.update(cv=kw) or [(t, 1.0, 0.0, [1.0] * k) for t in targets])
     for name in ("kmeans_sweep", "dbscan_sweep", "two_phase_external", "grouped_cv"):
         getattr(model_queries, f"q_{name}")(spark_, "")
     assert seen["ks"] == list(range(2, 61)) and seen["n_init"] == seen["two"]["n_init"] == 10
     assert seen["min_samples"] == (10, 20, 30)
     assert made == [(t, 1.0, 0.0, 10) for t in ("cluster", "type", "label")]
-    assert seen["cv"] == model_queries.FOREST == {"num_trees": 150, "max_depth": 30, "seed": 10000}
+    assert seen["cv"] == model_queries.FOREST == {"num_trees": 150, "seed": 10000}     # and no limit of depth
 
 
 def test_median_and_eps_of_shared_values_bring_no_rows_together(spark, monkeypatch):
