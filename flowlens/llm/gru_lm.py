@@ -16,6 +16,7 @@ crc32(id) mod 10 is not 0 are learned from, all texts are scored, whole.
   in two levels, so the driver gets one parameter set (fixed size) a round.
 * Scoring: the state is carried across windows from a document's first token to
   its end token, so the score is the log probability of the complete document.
+  Some blocks' documents are scored side by side, so that a long one seldom runs alone.
 
 Documents are kept as blocks of about ``BLOCK_TOKENS`` tokens or ``BLOCK_WORDS``
 distinct words, whichever comes first: a block's distinct words, and each document's tokens as positions among them.  The counts of the
@@ -30,9 +31,12 @@ no rows; without training rows every count is 0; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import math
 import pickle
 import zlib
+from collections import Counter, defaultdict
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -41,12 +45,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.functions.vectors import one_thread
 from flowlens.operators.store import materialize
 
 END = b"\n"                       # no word holds it
 FREQUENT, CLASSES, RARE = 1024, 32, 32
-HIDDEN, STREAMS, WINDOW = 16, 192, 16
-ROUNDS, RATE, WARM_UP, STRETCH = 4, 0.006, 30, 512
+HIDDEN, STREAMS, WINDOW = 16, 384, 16
+ROUNDS, RATE, WARM_UP, STRETCH, BURN_IN = 4, 0.009, 30, 1024, 32
+LANES, JUDGED = 512, 8192         # documents scored side by side, and tokens judged at once
+POOL_TOKENS = 4_000_000           # of blocks that are scored together
 BLOCK_TOKENS, BLOCK_WORDS = 1_000_000, 45_000   # positions among a block's words mostly fit 16 bits
 COMMON = 50_000                   # so many tokens' counts are broadcast; the others' are joined
 SMOOTH = 0.1
@@ -97,176 +104,248 @@ class Gru:
                   "bc": np.log(mass + 1).astype(np.float32), "wi": small(v.n, h) * 0,
                   "bi": np.log(v.count + 1).astype(np.float32)}
 
-    def steps(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, saved: list | None = None) -> np.ndarray:
-        """States after each of x's rows (time) for its columns (streams)."""
-        e, u, k = self.p["e"], self.p["u"], 2 * HIDDEN
-        out = np.empty((*x.shape, HIDDEN), np.float32)
+    def steps(self, x: np.ndarray, keep: np.ndarray | None, h: np.ndarray, saved: list | None = None) -> np.ndarray:
+        """States (time, hidden, stream) after each of x's rows (time) for its columns
+        (streams); ``keep`` is 0 where a document begins.  Streams are the last axis
+        everywhere, so that numpy works on long rows."""
+        k = 2 * HIDDEN
+        g = np.take(np.ascontiguousarray(self.p["e"].T), x.ravel(), axis=1).reshape(3 * HIDDEN, *x.shape)
+        u = np.ascontiguousarray(self.p["u"].T)
+        out = np.empty((x.shape[0], HIDDEN, x.shape[1]), np.float32)
+        a = np.empty((3 * HIDDEN, x.shape[1]), np.float32)
         for t in range(len(x)):
-            h = h * keep[t][:, None]
-            g = e[x[t]]
-            a = h @ u
-            zr = 1 / (1 + np.exp(-(g[:, :k] + a[:, :k])))
-            z, r, un = zr[:, :HIDDEN], zr[:, HIDDEN:], a[:, k:]
-            n = np.tanh(g[:, k:] + r * un)
+            if keep is not None:
+                h = h * keep[t]
+            np.matmul(u, h, out=a)
+            zr = g[:k, t] + a[:k]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r = zr[:HIDDEN], zr[HIDDEN:]
+            n = r * a[k:]
+            n += g[k:, t]
+            np.tanh(n, out=n)
             if saved is not None:
-                saved.append((h, z, r, un, n))
-            h = n + z * (h - n)
-            out[t] = h
+                saved.append((h, z, r, a[k:].copy(), n))
+            h = np.subtract(h, n, out=out[t])
+            h *= z
+            h += n
         return out
 
     def outputs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
-        """Natural log probabilities of the targets, without the counts of rare
-        classes; with ``grads`` also the gradient with respect to the states."""
+        """Natural log probabilities of the targets after ``states`` (hidden, row), without
+        the counts of rare classes; with ``grads`` also the gradient with respect to the
+        states.  Rows are taken in order of class, so every class's rows lie together."""
         p, v = self.p, self.v
-        kind = v.cls[targets]
-        logits = states @ p["wc"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        exp = np.exp(logits)
-        total = exp.sum(axis=1, keepdims=True)
-        at = np.arange(len(targets))
-        logp = logits[at, kind] - np.log(total[:, 0])
+        order = np.argsort(v.cls[targets].astype(np.int8), kind="stable")
+        states, targets = np.take(states, order, axis=1), targets[order]
+        kind, at = v.cls[targets], np.arange(len(targets))
+        logits = p["wc"].T @ states
+        logits += p["bc"][:, None]
+        logits -= logits.max(axis=0)
+        logp = logits[kind, at]
+        np.exp(logits, out=logits)
+        total = logits.sum(axis=0)
+        logp -= np.log(total)
         back = None
         if grads is not None:
-            d = exp / total
-            d[at, kind] -= 1
-            grads["wc"] = states.T @ d
-            grads["bc"] = d.sum(axis=0)
+            logits /= total
+            logits[kind, at] -= 1
+            grads["wc"], grads["bc"] = states @ logits.T, logits.sum(axis=1)
             grads["wi"], grads["bi"] = np.zeros_like(p["wi"]), np.zeros_like(p["bi"])
-            back = d @ p["wc"].T
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+            back = p["wc"] @ logits
+        edges = np.searchsorted(kind, np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            rows = order[edges[c]:edges[c + 1]]
-            if not len(rows) or v.first[c + 1] - v.first[c] < 2:
+            rows, s = slice(edges[c], edges[c + 1]), slice(v.first[c], v.first[c + 1])
+            if edges[c] == edges[c + 1] or s.stop - s.start < 2:
                 continue
-            s = slice(v.first[c], v.first[c + 1])
-            hs = states[rows]
-            inner = hs @ p["wi"][s].T + p["bi"][s]
-            inner -= inner.max(axis=1, keepdims=True)
-            exp = np.exp(inner)
-            total = exp.sum(axis=1, keepdims=True)
-            own, i = targets[rows] - s.start, np.arange(len(rows))
-            logp[rows] += inner[i, own] - np.log(total[:, 0])
+            hs, own = states[:, rows], targets[rows] - s.start
+            i = at[:len(own)]
+            inner = p["wi"][s] @ hs
+            inner += p["bi"][s, None]
+            inner -= inner.max(axis=0)
+            logp[rows] += inner[own, i]
+            np.exp(inner, out=inner)
+            total = inner.sum(axis=0)
+            logp[rows] -= np.log(total)
             if grads is not None:
-                d = exp / total
-                d[i, own] -= 1
-                grads["wi"][s] += d.T @ hs
-                grads["bi"][s] += d.sum(axis=0)
-                back[rows] += d @ p["wi"][s]
-        return logp, back
+                inner /= total
+                inner[own, i] -= 1
+                grads["wi"][s], grads["bi"][s] = inner @ hs.T, inner.sum(axis=1)
+                back[:, rows] += p["wi"][s].T @ inner
+        out = np.empty_like(logp)
+        out[order] = logp
+        if grads is None:
+            return out, None
+        whole = np.empty_like(back)
+        whole[:, order] = back
+        return out, whole
 
     def gradients(self, x, y, keep, real, h):
         """Gradients of a window's mean loss, and the state after it."""
         saved, grads = [], {}
         states = self.steps(x, keep, h, saved)
         flat = np.flatnonzero(real.ravel())
-        _, back = self.outputs(states.reshape(-1, HIDDEN)[flat], y.ravel()[flat], grads)
-        full = np.zeros((x.size, HIDDEN), np.float32)
-        full[flat] = back
-        full = full.reshape(*x.shape, HIDDEN)
-        u = self.p["u"]
-        gu, ge = np.zeros_like(u), np.empty((*x.shape, 3 * HIDDEN), np.float32)
+        steps, streams = x.shape
+        lined = states.transpose(1, 0, 2).reshape(HIDDEN, -1)
+        if len(flat) == x.size:
+            full = self.outputs(lined, y.ravel(), grads)[1]
+        else:
+            full = np.zeros((HIDDEN, x.size), np.float32)
+            full[:, flat] = self.outputs(np.take(lined, flat, axis=1), y.ravel()[flat], grads)[1]
+        full = full.reshape(HIDDEN, steps, streams)
+        u, k = self.p["u"], 2 * HIDDEN
+        gates, inputs = np.empty((3 * HIDDEN, steps, streams), np.float32), np.empty((HIDDEN, steps, streams), np.float32)
+        ge = np.empty_like(gates)
         dh = np.zeros_like(h)
-        for t in range(len(x) - 1, -1, -1):
+        for t in range(steps - 1, -1, -1):
             h0, z, r, un, n = saved[t]
-            dh = dh + full[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            da = np.concatenate([dh * (h0 - n) * z * (1 - z), dn * un * r * (1 - r), dn], axis=1)
-            ge[t] = da
-            da = da.copy()
-            da[:, 2 * HIDDEN:] *= r
-            gu += h0.T @ da
-            dh = (dh * z + da @ u.T) * keep[t][:, None]
-        grads["u"] = gu
-        order = np.argsort(x.ravel(), kind="stable")
-        symbols, starts = np.unique(x.ravel()[order], return_index=True)
+            inputs[:, t] = h0
+            dh = dh + full[:, t]
+            rest = 1 - z
+            dn = n * n
+            np.subtract(1, dn, out=dn)
+            dn *= dh
+            dn *= rest
+            dz = h0 - n
+            dz *= z
+            dz *= dh
+            dz *= rest
+            dr = dn * un
+            dr *= r
+            dr *= 1 - r
+            ge[:HIDDEN, t], ge[HIDDEN:k, t], ge[k:, t] = dz, dr, dn
+            da = np.concatenate([dz, dr, dn * r])
+            gates[:, t] = da
+            dh *= z
+            dh += u @ da
+            dh *= keep[t]
+        grads["u"] = inputs.reshape(HIDDEN, -1) @ gates.reshape(3 * HIDDEN, -1).T
+        flat_x = x.ravel()
+        order = np.argsort(flat_x.astype(np.uint16) if len(self.p["e"]) <= 65_536 else flat_x, kind="stable")
+        symbols, starts = np.unique(flat_x[order], return_index=True)
         grads["e"] = np.zeros_like(self.p["e"])
-        grads["e"][symbols] = np.add.reduceat(ge.reshape(-1, 3 * HIDDEN)[order], starts)
-        return {k: g / max(len(flat), 1) for k, g in grads.items()}, states[-1]
+        grads["e"][symbols] = np.add.reduceat(np.take(ge.reshape(3 * HIDDEN, -1), order, axis=1), starts, axis=1).T
+        return {name: g / max(len(flat), 1) for name, g in grads.items()}, states[-1]
 
     def train(self, docs: list[np.ndarray], adam: dict) -> None:
-        """One pass over documents (symbols, the end symbol last), dealt to streams;
-        long ones in stretches, so that the streams are about equally long."""
+        """One pass over documents (symbols, the end symbol last), laid one after another
+        into streams of about equal length.  Longer ones go in stretches of ``STRETCH``
+        tokens; a later stretch's state comes from the ``BURN_IN`` tokens before it."""
         if not docs:
             return
-        docs = [d[k:k + STRETCH] for d in docs for k in range(0, len(d), STRETCH)]
         end = self.v.symbol.get(END, self.v.n)
-        streams: list[list[np.ndarray]] = [[] for _ in range(STREAMS)]
-        fill = [0] * STREAMS
-        for d in sorted(docs, key=len, reverse=True):
-            k = fill.index(min(fill))
-            streams[k].append(d)
-            fill[k] += len(d)
-        streams = [streams[k] for k in sorted(range(STREAMS), key=lambda k: -fill[k])]
-        fill = sorted(fill, reverse=True)
+        sizes = list(map(len, docs))
+        lanes = lay(sizes, max(1, min(STREAMS, sum(sizes) // STRETCH)), STRETCH)    # few tokens, few streams
+        # a later stretch of a document goes first through the tokens before it, unjudged
+        lanes = [[(d, max(0, a - BURN_IN), a, b) for d, a, b in lane] for lane in lanes]
+        lanes.sort(key=lambda lane: -sum(b - a0 for _, a0, _, b in lane))
+        fill = [sum(b - a0 for _, a0, _, b in lane) for lane in lanes]
         size = fill[0]
-        y = np.zeros((STREAMS, size), np.int64)
-        x = np.full((STREAMS, size), end, np.int64)
-        new, real = np.zeros((STREAMS, size), bool), np.zeros((STREAMS, size), bool)
-        for k, own in enumerate(streams):
-            if own:
-                y[k, :fill[k]] = np.concatenate(own)
-                real[k, :fill[k]] = True
-                x[k, 1:fill[k]] = y[k, :fill[k] - 1]
-                new[k, np.cumsum([0] + [len(d) for d in own[:-1]])] = True
+        y = np.zeros((len(lanes), size), np.int64)
+        x = np.full((len(lanes), size), end, np.int64)
+        new, real = np.zeros((len(lanes), size), bool), np.zeros((len(lanes), size), bool)
+        for k, lane in enumerate(lanes):
+            at = 0
+            for d, a0, a, b in lane:
+                part = docs[d][a0:b]
+                y[k, at:at + b - a0] = part
+                x[k, at + 1:at + b - a0] = part[:-1]
+                if a0:
+                    x[k, at] = docs[d][a0 - 1]
+                new[k, at] = True
+                real[k, at + a - a0:at + b - a0] = True
+                at += b - a0
         x, y, real, keep = x.T, y.T, real.T, (~new).T.astype(np.float32)
-        h = np.zeros((STREAMS, HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, len(lanes)), np.float32)
         for at in range(0, size, WINDOW):
-            live = sum(f > at for f in fill)     # long documents go on in few streams
+            live = sum(f > at for f in fill)
             s = slice(at, at + WINDOW), slice(live)
-            grads, h = self.gradients(x[s], y[s], keep[s], real[s], h[:live])
+            grads, h = self.gradients(x[s], y[s], keep[s], real[s], h[:, :live])
             adam["t"] = t = adam.get("t", 0) + 1
             share = min(1.0, 4 * live / STREAMS)  # few streams, a noisier gradient: a smaller step
+            rate = RATE * min(1.0, t / WARM_UP) * share * math.sqrt(1 - 0.99 ** t) / (1 - 0.9 ** t)
             for name, g in grads.items():
-                m, q = adam.setdefault(name, (np.zeros_like(g), np.zeros_like(g)))
-                m += 0.1 * (g - m)
-                q += 0.01 * (g * g - q)
-                rate = RATE * min(1.0, t / WARM_UP) * share * math.sqrt(1 - 0.99 ** t) / (1 - 0.9 ** t)
-                self.p[name] -= rate * m / (np.sqrt(q) + 1e-6)
+                if name not in adam:
+                    adam[name] = np.zeros_like(g), np.zeros_like(g)
+                m, q = adam[name]
+                m *= 0.9
+                m += 0.1 * g
+                np.multiply(g, g, out=g)
+                g *= 0.01
+                q *= 0.99
+                q += g
+                np.sqrt(q, out=g)
+                g += 1e-6
+                np.divide(m, g, out=g)
+                g *= rate
+                self.p[name] -= g
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each document's symbols; the state is carried from
-        window to window.  Long documents go on while short ones are done."""
-        total = np.zeros(len(docs))
-        order = sorted(range(len(docs)), key=lambda k: -len(docs[k]))
-        sizes = np.array([len(docs[k]) for k in order])
+        """log10 probability of each document's symbols; the state is carried from its first
+        window to its last.  Documents follow one another in as many streams as the
+        longest one can share its time with."""
+        sizes = list(map(len, docs))
+        if not docs:
+            return np.zeros(0)
         end = self.v.symbol.get(END, self.v.n)
-        h = np.zeros((len(docs), HIDDEN), np.float32)
-        last = np.full(len(docs), end, np.int64)
-        waiting: list[tuple] = []      # states, targets and documents of some windows
+        lanes = lay(sizes, max(1, min(LANES, sum(sizes) // max(sizes) + 1)))
+        fill = np.array([sum(b - a for _, a, b in lane) for lane in lanes])
+        size = int(fill.max())
+        y, x = np.zeros((len(lanes), size), np.uint16), np.full((len(lanes), size), end, np.uint16)
+        keep = np.ones((len(lanes), size), np.float32)
+        for k, lane in enumerate(lanes):
+            at = 0
+            for d, a, b in lane:
+                y[k, at:at + b] = docs[d]
+                x[k, at + 1:at + b] = docs[d][:-1]
+                keep[k, at] = 0
+                at += b
+        logp = np.zeros((len(lanes), size), np.float32)
+        h = np.zeros((HIDDEN, len(lanes)), np.float32)
+        waiting: list[tuple] = []       # windows, and the states after their inputs
 
         def judge():
-            states, targets, own = map(np.concatenate, zip(*waiting))
-            for s in range(0, len(own), 4096):
-                part = slice(s, s + 4096)
-                np.add.at(total, own[part], self.outputs(states[part], targets[part])[0])
+            states = np.concatenate([w[1].transpose(1, 0, 2).reshape(HIDDEN, -1) for w in waiting], axis=1)
+            found = self.outputs(states, np.concatenate([y[w[0]].T.ravel() for w in waiting]).astype(np.int64))[0]
+            for (s, own), a in zip(waiting, np.cumsum([0] + [w[1].shape[0] * w[1].shape[2] for w in waiting])):
+                logp[s] = found[a:a + own.shape[0] * own.shape[2]].reshape(own.shape[0], -1).T
             waiting.clear()
 
-        for at in range(0, int(sizes.max(initial=0)), WINDOW):
-            live = int(np.searchsorted(-sizes, -at, "left"))
-            y = np.zeros((live, WINDOW), np.int64)
-            for k in range(live):
-                part = docs[order[k]][at:at + WINDOW]
-                y[k, :len(part)] = part
-            x = np.concatenate([last[:live, None], y[:, :-1]], axis=1)
-            states = self.steps(x.T, np.ones((WINDOW, live), np.float32), h[:live])
-            real = np.arange(at, at + WINDOW)[:, None] < sizes[None, :live]
-            flat = np.flatnonzero(real.ravel())
-            waiting.append((states.reshape(-1, HIDDEN)[flat], y.T.ravel()[flat], flat % live))
-            if sum(len(w[2]) for w in waiting) >= 4096:
+        for at in range(0, size, WINDOW):
+            live = int(np.searchsorted(-fill, -at, "left"))
+            s = slice(live), slice(at, at + WINDOW)
+            states = self.steps(x[s].T, keep[s].T, h[:, :live])
+            h = states[-1]
+            waiting.append((s, states))
+            if sum(w[1].shape[0] * w[1].shape[2] for w in waiting) >= JUDGED:
                 judge()
-            h, last = states[-1], y[:, -1]
-        if waiting:
-            judge()
+        judge()
         out = np.empty(len(docs))
-        out[order] = total / math.log(10)
-        return out
+        for k, lane in enumerate(lanes):
+            starts = np.cumsum([0] + [b for _, _, b in lane[:-1]])
+            out[[d for d, _, _ in lane]] = np.add.reduceat(logp[k, :fill[k]].astype(np.float64), starts)
+        return out / math.log(10)
+
+
+def lay(sizes: list[int], lanes: int, stretch: int | None = None) -> list[list[tuple[int, int, int]]]:
+    """Documents, or stretches of them, as (number, from, to) dealt to lanes, longest
+    first to the shortest lane; the fullest lane first, empty ones dropped."""
+    step = stretch or max(sizes)
+    parts = sorted(((min(step, n - a), d, a) for d, n in enumerate(sizes) for a in range(0, n, step)), key=lambda p: (-p[0], p[1], p[2]))
+    heap, out = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
+    for n, d, a in parts:
+        filled, k = heapq.heappop(heap)
+        out[k].append((d, a, a + n))
+        heapq.heappush(heap, (filled + n, k))
+    return sorted((lane for lane in out if lane), key=lambda lane: -sum(b - a for _, a, b in lane))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c): how often each token occurs in training documents."""
     def run(batches):
-        counts: dict[bytes, int] = {}
+        counts: Counter[bytes] = Counter()
 
         def rows():
             out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()),
@@ -276,8 +355,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for w in tokens_of(text):
-                    counts[w] = counts.get(w, 0) + 1
+                counts.update(tokens_of(text))
                 if len(counts) > 1_000_000:
                     yield rows()
         if counts:
@@ -287,6 +365,18 @@ def count_words(docs: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, n: int) -> DataFrame:
+    """The n most frequent words.  A histogram of the counts' logarithms tells first how
+    high a count is needed, so that tasks send few words besides."""
+    level = F.floor(F.log2("c") * 16)
+    seen, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        seen, least = seen + r["k"], r["level"]
+        if seen >= n:
+            break
+    return counts.where(level >= (least or 0)).orderBy(F.desc("c"), "word").limit(n)
+
+
 def make_blocks(docs: DataFrame, vocabulary, common) -> DataFrame:
     """One row per block: the symbols of its distinct words, their counts if they
     are common, the others with their positions, its documents' ids, lengths and
@@ -297,7 +387,7 @@ def make_blocks(docs: DataFrame, vocabulary, common) -> DataFrame:
     def run(batches):
         v, number, of_common = vocabulary.value, 0, common.value
         base = TaskContext.get().partitionId() << 32
-        place: dict[bytes, int] = {}
+        place: dict[bytes, int] = defaultdict(count().__next__)     # a new word has the next number
         ids, held, sizes, parts, total, held_type = [], [], [], [], 0, pa.int64()
 
         def row():
@@ -316,14 +406,15 @@ def make_blocks(docs: DataFrame, vocabulary, common) -> DataFrame:
             held_type = batch.schema.field("id").type
             for key, out, text in zip(*(batch.column(c).to_pylist() for c in ("id", "held_out", "text"))):
                 words = tokens_of(text)
-                parts.append(np.array([place.setdefault(w, len(place)) for w in words], "<u4"))
+                parts.append(np.fromiter(map(place.__getitem__, words), "<u4", len(words)))
                 ids.append(key)
                 held.append(out)
                 sizes.append(len(words))
                 total += len(words)
                 if total >= BLOCK_TOKENS or len(place) >= BLOCK_WORDS:
                     yield row()
-                    place, ids, held, sizes, parts, number, total = {}, [], [], [], [], number + 1, 0
+                    place, number, total = defaultdict(count().__next__), number + 1, 0
+                    ids, held, sizes, parts = [], [], [], []
         if ids:
             yield row()
 
@@ -345,6 +436,7 @@ def _documents(symbols: bytes, sizes, tokens: bytes) -> list[np.ndarray]:
 def train_round(blocks: DataFrame, shared) -> dict | None:
     """Average, weighted by tokens, of the parameters that each task reaches."""
     def run(batches):
+        one_thread()
         gru, adam, seen, waiting, size = pickle.loads(shared.value), {}, 0, [], 0
         for batch in batches:
             for r in batch.to_pylist():
@@ -385,7 +477,7 @@ def score_documents(documents: DataFrame, rounds: int = ROUNDS, id_col: str = "d
     counts = materialize(count_words(docs), "lm-counts")
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, kinds = sums["n"] or 0, sums["v"]
-    common = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(COMMON).collect()]
+    common = [(bytes(r["word"]), r["c"]) for r in most_frequent(counts, COMMON).collect()]
     top = common[:FREQUENT]
     ending = F.crc32(F.substring("word", -3, 3)) % RARE
     rare_total, rare_kinds = np.zeros(RARE), np.zeros(RARE)
@@ -413,27 +505,42 @@ def score_documents(documents: DataFrame, rounds: int = ROUNDS, id_col: str = "d
     shared = spark.sparkContext.broadcast(pickle.dumps(gru))
     norm = math.log10(n_train + SMOOTH * (kinds + 1))
 
+    def judged(model, pool):
+        """Rows of some blocks; their documents are scored side by side."""
+        docs = [d for r in pool for d in _documents(r["symbols"], r["sizes"], r["tokens"])]
+        scores, at = model.score(docs), 0
+        for r in pool:
+            sizes, of = r["sizes"], np.frombuffer(r["symbols"], np.uint16).astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            tokens, c = _places(r["tokens"], sizes), r["c"]
+            logc = np.log10(c + SMOOTH)
+            rare = np.where(of >= model.v.n, logc - model.v.rare_norm[np.maximum(of - model.v.n, 0)], 0.0)
+            per = lambda x: np.add.reduceat(x[tokens], starts)  # noqa: E731, B023
+            score = scores[at:at + len(sizes)] + per(rare)
+            at += len(sizes)
+            yield pa.RecordBatch.from_arrays([
+                r["ids"], r["held_out"], pa.array(sizes), pa.array(per((c > 0).astype(np.int64))),
+                pa.array(per(logc) - sizes * norm), pa.array(score)],
+                ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
     def run(batches):
-        model = pickle.loads(shared.value)
+        one_thread()
+        model, pool, size = pickle.loads(shared.value), [], 0
         for batch in batches:
             for k in range(batch.num_rows):
                 r = {c: batch.column(c)[k] for c in batch.schema.names}
-                symbols, sizes = r["symbols"].as_py(), np.array(r["sizes"].as_py(), np.int64)
-                of = np.frombuffer(symbols, np.uint16).astype(np.int64)
                 c = np.frombuffer(r["counts"].as_py(), np.int64).astype(np.float64)
                 if r["known"].is_valid:
                     pairs = r["known"].values
                     c[pairs.field("place").to_numpy()] = pairs.field("c").to_numpy()
-                tokens = _places(r["tokens"].as_py(), sizes)
-                starts = np.cumsum(sizes) - sizes
-                logc = np.log10(c + SMOOTH)
-                rare = np.where(of >= model.v.n, logc - model.v.rare_norm[np.maximum(of - model.v.n, 0)], 0.0)
-                per = lambda x: np.add.reduceat(x[tokens], starts)
-                score = model.score(_documents(symbols, sizes, r["tokens"].as_py())) + per(rare)
-                yield pa.RecordBatch.from_arrays([
-                    r["ids"].values, r["held_out"].values, pa.array(sizes), pa.array(per((c > 0).astype(np.int64))),
-                    pa.array(per(logc) - sizes * norm), pa.array(score)],
-                    ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                pool.append({"symbols": r["symbols"].as_py(), "sizes": np.array(r["sizes"].as_py(), np.int64), "tokens": r["tokens"].as_py(),
+                             "c": c, "ids": r["ids"].values, "held_out": r["held_out"].values})
+                size += int(pool[-1]["sizes"].sum())
+                if size >= POOL_TOKENS:
+                    yield from judged(model, pool)
+                    pool, size = [], 0
+        if pool:
+            yield from judged(model, pool)
 
     kind = docs.schema["id"].dataType.simpleString()
     out = (blocks.select("block", "counts", "symbols", "ids", "held_out", "sizes", "tokens").join(known, "block", "left").drop("block")

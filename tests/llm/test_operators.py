@@ -166,15 +166,52 @@ def test_model_is_a_distribution_and_state_is_carried():
     for k in gru.p:
         gru.p[k] = (gru.p[k] + rng.standard_normal(gru.p[k].shape) * 0.3).astype(np.float32)
     n = gru.v.n + gru_lm.RARE
-    state = rng.standard_normal((1, gru_lm.HIDDEN)).astype(np.float32)
-    logp, _ = gru.outputs(np.repeat(state, n, 0), np.arange(n))
+    state = rng.standard_normal((gru_lm.HIDDEN, 1)).astype(np.float32)
+    logp, _ = gru.outputs(np.repeat(state, n, 1), np.arange(n))
     assert abs(np.exp(logp).sum() - 1) < 1e-5
     docs = [rng.integers(0, n, size) for size in (1, 5, 16, 17, 200)]
     whole = gru.score(docs)
     for d, got in zip(docs, whole):
         x = np.concatenate([[gru.v.symbol[gru_lm.END]], d[:-1]])
-        states = gru.steps(x[:, None], np.ones((len(x), 1), np.float32), np.zeros((1, gru_lm.HIDDEN), np.float32))
-        assert abs(gru.outputs(states[:, 0], d)[0].sum() / math.log(10) - got) < 1e-3
+        states = gru.steps(x[:, None], np.ones((len(x), 1), np.float32), np.zeros((gru_lm.HIDDEN, 1), np.float32))
+        assert abs(gru.outputs(states[:, :, 0].T, d)[0].sum() / math.log(10) - got) < 1e-3
+
+
+def test_gradients_match_differences(monkeypatch):
+    gru, rng = small_gru(), np.random.default_rng(5)
+    for k in gru.p:
+        gru.p[k] = gru.p[k].astype(np.float64) + rng.standard_normal(gru.p[k].shape) * 0.3
+    n = gru.v.n + gru_lm.RARE
+    x, y = rng.integers(0, n, (6, 4)), rng.integers(0, n, (6, 4))
+    keep, real = (rng.random((6, 4)) < 0.8).astype(np.float64), rng.random((6, 4)) < 0.8
+    h = rng.standard_normal((gru_lm.HIDDEN, 4))
+
+    def loss():
+        states = gru.steps(x, keep, h)
+        flat = np.flatnonzero(real.ravel())
+        return -gru.outputs(states.transpose(1, 0, 2).reshape(gru_lm.HIDDEN, -1)[:, flat], y.ravel()[flat])[0].sum() / len(flat)
+
+    grads, _ = gru.gradients(x, y, keep, real, h)
+    for name, g in grads.items():
+        for at in zip(*(rng.integers(0, s, 25) for s in g.shape)):
+            was, step = gru.p[name][at], 0.02
+            gru.p[name][at] = was + step
+            up = loss()
+            gru.p[name][at] = was - step
+            down = loss()
+            gru.p[name][at] = was
+            assert abs((up - down) / (2 * step) - g[at]) < 2e-3, name
+
+
+def test_documents_are_laid_into_lanes_once():
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(1, 3000, 80).tolist()
+    lanes = gru_lm.lay(sizes, 16, 500)
+    parts = sorted(p for lane in lanes for p in lane)
+    assert [sum(b - a for d, a, b in parts if d == k) for k in range(80)] == sizes
+    assert all(b - a <= 500 and a % 500 == 0 for _, a, b in parts)
+    fill = [sum(b - a for _, a, b in lane) for lane in lanes]
+    assert fill == sorted(fill, reverse=True) and fill[0] - fill[-1] <= 500
 
 
 def test_training_lowers_the_loss():
