@@ -321,7 +321,8 @@ class Gru:
             waiting.append((s, states))
             if sum(w[1].shape[0] * w[1].shape[2] for w in waiting) >= JUDGED:
                 judge()
-        judge()
+        if waiting:
+            judge()
         out = np.empty(len(docs))
         for k, lane in enumerate(lanes):
             starts = np.cumsum([0] + [b for _, _, b in lane[:-1]])

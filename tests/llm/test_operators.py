@@ -160,7 +160,7 @@ def small_gru():
     return gru_lm.Gru(gru_lm.Vocabulary(top, np.full(gru_lm.RARE, 5.0), np.full(gru_lm.RARE, 2.0)))
 
 
-def test_model_is_a_distribution_and_state_is_carried():
+def test_model_is_a_distribution_and_state_is_carried(monkeypatch):
     gru = small_gru()
     rng = np.random.default_rng(0)
     for k in gru.p:
@@ -171,6 +171,9 @@ def test_model_is_a_distribution_and_state_is_carried():
     assert abs(np.exp(logp).sum() - 1) < 1e-5
     docs = [rng.integers(0, n, size) for size in (1, 5, 16, 17, 200)]
     whole = gru.score(docs)
+    for judged in (1, 16, 64):
+        monkeypatch.setattr(gru_lm, "JUDGED", judged)
+        assert np.allclose(gru.score(docs), whole, atol=1e-3)
     for d, got in zip(docs, whole):
         x = np.concatenate([[gru.v.symbol[gru_lm.END]], d[:-1]])
         states = gru.steps(x[:, None], np.ones((len(x), 1), np.float32), np.zeros((gru_lm.HIDDEN, 1), np.float32))
