@@ -34,9 +34,9 @@ from __future__ import annotations
 import heapq
 import math
 import pickle
-import zlib
 from collections import Counter, defaultdict
-from itertools import count
+from itertools import count, repeat
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -55,19 +55,19 @@ ROUNDS, RATE, WARM_UP, STRETCH, BURN_IN = 4, 0.009, 30, 1024, 32
 LANES, JUDGED = 512, 8192         # documents scored side by side, and tokens judged at once
 POOL_TOKENS = 4_000_000           # of blocks that are scored together
 BLOCK_TOKENS, BLOCK_WORDS = 1_000_000, 45_000   # positions among a block's words mostly fit 16 bits
-COMMON = 50_000                   # so many tokens' counts are broadcast; the others' are joined
+COMMON = 100_000                  # so many tokens' counts are broadcast; the others' are joined
 SMOOTH = 0.1
 
 
-def tokens_of(text: str) -> list[bytes]:
+def tokens_of(text: str | bytes) -> list[bytes]:
     """Words without space and U+0009..U+000D, A-Z lower-cased, and the end token."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+    words = (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).lower().split()
     words.append(END)
     return words
 
 
 def rare_class(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % RARE
+    return crc32(word[-3:]) % RARE
 
 
 class Vocabulary:
@@ -392,12 +392,16 @@ def make_blocks(docs: DataFrame, vocabulary, common) -> DataFrame:
         ids, held, sizes, parts, total, held_type = [], [], [], [], 0, pa.int64()
 
         def row():
-            symbols = np.fromiter(map(v.of, place), np.uint16, len(place))
-            counts = np.fromiter((of_common.get(w, 0) for w in place), np.int64, len(place))
-            other = [(w, k) for (w, k), c in zip(place.items(), counts.tolist()) if not c]
+            words = list(place)
+            symbols = np.fromiter(map(v.symbol.get, words, repeat(-1)), np.int32, len(words))
+            rare = np.flatnonzero(symbols < 0)
+            symbols[rare] = v.n + np.fromiter(map(crc32, [words[k][-3:] for k in rare.tolist()]), np.uint32, len(rare)) % RARE
+            symbols = symbols.astype(np.uint16)
+            counts = np.fromiter(map(of_common.get, words, repeat(0)), np.int64, len(words))
+            other = np.flatnonzero(counts == 0).tolist()
             return pa.RecordBatch.from_arrays([
-                pa.array([base + number], pa.int64()), pa.array([[w for w, _ in other]], pa.list_(pa.binary())),
-                pa.array([[k for _, k in other]], pa.list_(pa.int32())), pa.array([counts.tobytes()], pa.binary()),
+                pa.array([base + number], pa.int64()), pa.array([[words[k] for k in other]], pa.list_(pa.binary())),
+                pa.array([other], pa.list_(pa.int32())), pa.array([counts.tobytes()], pa.binary()),
                 pa.array([symbols.tobytes()], pa.binary()), pa.array([ids], pa.list_(held_type)),
                 pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())),
                 pa.array([np.concatenate(parts).astype("<u2" if len(place) <= 65_536 else "<u4").tobytes()], pa.binary())],
@@ -474,7 +478,7 @@ def score_documents(documents: DataFrame, rounds: int = ROUNDS, id_col: str = "d
     spark = documents.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
     docs = documents.select(F.col(id_col).alias("id"), held.alias("held_out"),
-                            F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+                            F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     counts = materialize(count_words(docs), "lm-counts")
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, kinds = sums["n"] or 0, sums["v"]
