@@ -53,7 +53,7 @@ FREQUENT, CLASSES, RARE = 1024, 32, 32
 HIDDEN, STREAMS, WINDOW = 16, 384, 16
 ROUNDS, RATE, WARM_UP, STRETCH, BURN_IN = 4, 0.009, 30, 1024, 32
 LANES, JUDGED = 512, 8192         # documents scored side by side, and tokens judged at once
-POOL_TOKENS = 4_000_000           # of blocks that are scored together
+POOL_TOKENS = 3_000_000           # of blocks that are scored together
 BLOCK_TOKENS, BLOCK_WORDS = 1_000_000, 45_000   # positions among a block's words mostly fit 16 bits
 COMMON = 100_000                  # so many tokens' counts are broadcast; the others' are joined
 SMOOTH = 0.1
@@ -434,7 +434,7 @@ def _places(tokens: bytes, sizes) -> np.ndarray:
 
 
 def _documents(symbols: bytes, sizes, tokens: bytes) -> list[np.ndarray]:
-    of = np.frombuffer(symbols, np.uint16).astype(np.int64)
+    of = np.frombuffer(symbols, np.uint16)
     return np.split(of[_places(tokens, sizes)], np.cumsum(sizes)[:-1])
 
 
