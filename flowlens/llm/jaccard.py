@@ -22,7 +22,7 @@ probability 3e-6, pairs above it with less.
 Cases: a null text or one without words has no shingles, no links and a class of
 its own; texts may be of any length; repeated rows are copies of one node; rows
 with null ids take part, and a class's id is its smallest id that is not null;
-an empty table gives no rows; other columns are ignored, whatever their names.
+ids may occur with several texts; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -112,7 +112,8 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """(id, fp, n, sig, bands); fp names the set, null without shingles."""
+    """(id, digest, fp, n, sig, bands); fp names the set, null without shingles; digest is
+    the text's, so (id, digest) names a row up to copies of it."""
     kind = documents.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -123,15 +124,15 @@ def signatures(documents: DataFrame) -> DataFrame:
                 sets = shingle_sets(part, cache)
                 sigs = [signature(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(at, len(part)),
+                    ids.slice(at, len(part)), batch.column("digest").slice(at, len(part)),
                     pa.array([set_name(s) for s in sets], pa.string()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([s.tobytes() for s in sigs], pa.binary()),
                     pa.array([band_keys(s).tolist() if len(x) else [] for s, x in zip(sigs, sets)], pa.list_(pa.int64())),
-                ], ["id", "fp", "n", "sig", "bands"])
+                ], ["id", "digest", "fp", "n", "sig", "bands"])
                 at += len(part)
 
-    return documents.mapInArrow(run, f"id {kind}, fp string, n long, sig binary, bands array<bigint>")
+    return documents.mapInArrow(run, f"id {kind}, digest string, fp string, n long, sig binary, bands array<bigint>")
 
 
 def set_name(shingles: np.ndarray) -> str | None:
@@ -240,16 +241,16 @@ def links(groups: DataFrame, num: int, den: int) -> DataFrame:
     return groups.groupBy("group", "low", "high").applyInPandas(run, "node long, texts long, docs long, root long")
 
 
-def join_near(documents: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id",
-              text_col: str = "text") -> DataFrame:
-    """(id, class_id, copy_id, n_links, n_texts) of every row: its class (documents
-    joined by chains of links or copies), the smallest id with an equal set, the
-    other documents that it links to, and how many different sets those have.
-    The threshold is num / den, at least 0.8 for the bands used here."""
-    docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def near_rows(documents: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, digest, class_id, copy_id, head, n_links, n_texts) of every row; head (none, id,
+    digest) names the class's first row: the smallest id that is not null, and of rows
+    with that id the smallest digest of a text.  Rows without shingles are their own."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = documents.select(F.col(id_col).alias("id"), text.alias("text"), F.md5(text.cast("binary")).alias("digest"))
     signed = materialize(signatures(docs), "jaccard-signatures")
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
     nodes = (signed.where("fp is not null").groupBy("fp")
-             .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
+             .agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
                   F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
 
@@ -257,13 +258,17 @@ def join_near(documents: DataFrame, num: int = 4, den: int = 5, id_col: str = "d
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
     stars = keys.join(hubs.select("key", "hub"), "key").where("node <> hub").select("hub", "node").distinct()
     groups = connected_components(materialize(stars, "jaccard-stars"), src="hub", dst="node", vid="node")
-    groups = materialize(groups.join(nodes.select("node", "fp", "first_id", "copies", "n", "sig"), "node"), "jaccard-groups")
+    groups = materialize(groups.join(nodes.select("node", "fp", "first", "copies", "n", "sig"), "node"), "jaccard-groups")
 
-    sets = docs.join(groups.select(F.col("first_id"), F.col("fp").alias("want")), F.col("id").eqNullSafe(F.col("first_id")))
+    # each set is fetched from one text: of many rows with one id, or none, only those with its digest
+    wanted = groups.select(F.col("first.id").alias("of"), F.col("first.digest").alias("digest"), F.col("fp").alias("want"))
+    sets = docs.join(wanted, "digest").where(F.col("id").eqNullSafe(F.col("of")))
     sets = materialize(sets_of(sets).dropDuplicates(["fp"]), "jaccard-sets")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES + F.sum("n") / BLOCK_SHINGLES)
-                                            .cast("int").alias("blocks"))
-    dealt = (groups.join(sizes, "component").join(sets, "fp")
+    # groups of more than one block are few: one for each BLOCK_NODES nodes at most
+    large = groups.groupBy(F.col("component").alias("of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES + F.sum("n") / BLOCK_SHINGLES)
+                                                               .cast("int").alias("many")).where("many > 1")
+    dealt = (groups.join(materialize(large, "jaccard-large"), F.col("component") == F.col("of"), "left").join(sets, "fp")
+             .withColumn("blocks", F.coalesce("many", F.lit(1)))
              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     units = dealt.select(F.col("component").alias("group"), F.least("block", "other").alias("low"),
@@ -275,15 +280,43 @@ def join_near(documents: DataFrame, num: int = 4, den: int = 5, id_col: str = "d
     classes = connected_components(found.where("node <> root"), found.select(F.col("node").alias("id")),
                                    src="node", dst="root", vid="id").withColumnRenamed("id", "node")
     counts = found.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    by_node = (nodes.select("node", "fp", "first_id", "copies").join(counts, "node", "left").join(classes, "node", "left")
+    by_node = (nodes.select("node", "fp", "first", "copies").join(counts, "node", "left").join(classes, "node", "left")
                .withColumn("component", F.coalesce("component", "node")))
-    smallest = by_node.groupBy("component").agg(F.min("first_id").alias("class_id"))
+    smallest = by_node.groupBy("component").agg(F.min("first").alias("head"))
     by_node = by_node.join(smallest, "component").select(
-        "fp", "class_id", F.col("first_id").alias("copy_id"),
+        "fp", "head", F.col("first.id").alias("copy_id"),
         (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
-    out = signed.select("id", "fp").join(by_node, "fp", "left")
-    alone = F.col("fp").isNull()
-    return out.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-                      F.when(alone, F.col("id")).otherwise(F.col("copy_id")).alias("copy_id"),
+    out = signed.select("id", "digest", "fp").join(by_node, "fp", "left").withColumn("head", F.coalesce("head", own))
+    return out.select("id", "digest", F.col("head.id").alias("class_id"),
+                      F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("copy_id")).alias("copy_id"), "head",
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"))
+
+
+def join_near(documents: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id",
+              text_col: str = "text") -> DataFrame:
+    """(id, class_id, copy_id, n_links, n_texts) of every row: its class (documents
+    joined by chains of links or copies), the smallest id with an equal set, the
+    other documents that it links to, and how many different sets those have.
+    The threshold is num / den, at least 0.8 for the bands used here."""
+    rows = near_rows(documents, num, den, id_col, text_col)
+    return rows.select(F.col("id").alias(id_col), "class_id", "copy_id", "n_links", "n_texts")
+
+
+def keep_first(documents: DataFrame, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one row of each class, its first (``near_rows``).  Rows are told
+    apart by id and text, so an id that occurs with several texts loses none that is
+    its class's first; rows alike in both are one row.  Texts without words all stay."""
+    columns = documents.columns
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    digest = F.md5(text.cast("binary"))
+    near = materialize(near_rows(documents, num, den, id_col, text_col).where("n_links > 0"), "jaccard-near")
+    first = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("digest") == F.col("head.digest"))
+    gone = near.where(~first).select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    # first rows that occur more than once, by id and text
+    again = near.where(first).groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    marks = gone.withColumn("_again", F.lit(False)).unionByName(again.drop("c").withColumn("_again", F.lit(True)))
+    marked = documents.join(marks, (digest == F.col("_digest")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    once = marked.where("_again is null").select(*columns)
+    one = marked.where("_again").groupBy("_digest", "_id").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return once.unionByName(one.select(*columns))
