@@ -58,8 +58,9 @@ BAD_NAMES = frozenset("""ad ads advert adverts advertisement banner sponsor spon
 #: Names of an article among the good ones, and of comments among the bad ones.
 ITEM_NAMES, COMMENT_NAMES = frozenset(("article", "entry", "post", "story")), frozenset("comment comments reply replies".split())
 TAGS = ("p", "h", "li", "div", "section", "td", "ul", "pre", "blockquote", "body", *GOOD_TAGS, *BAD_TAGS)
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
-                    r"|<([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: Comments, declarations, end tags, and start tags as far as their first quote, "<" or ">".
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/><]*)[^>]*>|<([a-zA-Z][^\s/><]*)([^<>\"']*)", re.S)
+TAG_PART, TAG_REST = re.compile(r"[>\"']"), re.compile(r"[^<>]*>")
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 
@@ -74,7 +75,34 @@ class Page(NamedTuple):
 def parse(html: str) -> Page:
     tags, parents, names, inside, chunks = ["html"], [-1], [frozenset()], [0], []
     stack: list[tuple[str, int]] = [("html", 0)]      # open elements; inline ones carry their block
+    places: dict[str, list[int]] = {}                 # where each tag, any block and any block but p is open
     run, links, hidden, at = 0, 0, 0, 0
+    dead: set[int] = set()                            # places from which no unquoted ">" follows
+    last = html.rfind(">") + 1                        # beyond it nothing ends a tag
+
+    def push(tag: str, owner: int) -> None:
+        for name in (tag, *(("*",) if tag in BLOCK else ()), *(("*p",) if tag in BLOCK and tag != "p" else ())):
+            places.setdefault(name, []).append(len(stack))
+        stack.append((tag, owner))
+
+    def open_at(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def tag_end(begin: int) -> int:
+        """Place of the ">" that ends a tag outside quotes, or -1.  Places after a quoted value
+        that were passed in vain are kept, so that a page is read once at most."""
+        at, passed = begin, []
+        while at not in dead:
+            m = TAG_PART.search(html, at)
+            if m and m[0] == ">":
+                return m.start()
+            passed.append(at)
+            close = html.find(m[0], m.end()) if m else -1
+            if close < 0:
+                break
+            at = close + 1
+        dead.update(passed)
+        return -1
 
     def text(raw: str) -> None:
         if hidden and raw and not raw.isspace():
@@ -88,31 +116,40 @@ def parse(html: str) -> Page:
             links -= tag == "a"
             hidden -= tag in SKIP
             run += tag in BLOCK
+            for name in (tag, *(("*",) if tag in BLOCK else ()), *(("*p",) if tag in BLOCK and tag != "p" else ())):
+                places[name].pop()
         del stack[to:]
 
     def leave_head(tag: str) -> None:
         """An open head ends at its first tag or text that is no part of a head."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == "head":
-                if tag == "body" or (k == len(stack) - 1 and tag != "template"):
-                    pop(k)
-                return
-
-    def close(wanted: tuple[str, ...], limits) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in wanted:
-                pop(k)
-                return
-            if stack[k][0] in limits:
-                return
-
-    while m := MARKUP.search(html, at):
+        k = open_at(("head",))
+        if k and (tag == "body" or (k == len(stack) - 1 and tag != "template")):
+            pop(k)
+
+    def close(wanted: tuple[str, ...], limits: tuple[str, ...]) -> None:
+        """Closes the innermost of some tags, unless a limit is open inside it."""
+        k = open_at(wanted)
+        if k and k >= open_at(limits):
+            pop(k)
+
+    while m := MARKUP.search(html, at, last):
         text(html[at:m.start()])
         at = m.end()
-        end, tag, attrs = m[1], m[2] or m[4], m[3] or m[5] or ""
+        end, tag, attrs = m[1], m[2], m[3] or ""
+        if m[0].startswith("<!--") and (len(m[0]) < 7 or not m[0].endswith("-->")):
+            at = len(html)                                           # a comment without an end
+            break
+        if tag:
+            stop = at if html[at] == ">" else -1 if html[at] == "<" else tag_end(at)
+            if stop < 0 and (rest := TAG_REST.match(html, at)):     # quotes that never close
+                stop = rest.end() - 1
+            if stop < 0:                                             # a "<" in running text
+                text(m[0])
+                continue
+            attrs, at = html[m.start(3):stop], stop + 1
         if end:
             end = end.lower()
-            close((end,), () if end in BLOCK or end in SKIP else BLOCK)
+            close((end,), () if end in BLOCK or end in SKIP else ("*",))
         elif tag:
             tag = tag.lower()
             if tag in ("br", "hr", "wbr") or tag in VOID:
@@ -132,7 +169,7 @@ def parse(html: str) -> Page:
             if attrs.endswith("/") and tag not in BLOCK:
                 continue
             if tag in BLOCK:
-                close(("p",), BLOCK - {"p"})
+                close(("p",), ("*p",))
                 if tag in CLOSES:
                     close(CLOSES[tag], HOLDS[tag])
                 owner = stack[-1][1]
@@ -143,13 +180,13 @@ def parse(html: str) -> Page:
                 found = " ".join(x.strip("\"'") for x in NAMES.findall(attrs)) if attrs else ""
                 names.append(frozenset(re.split(r"[^a-z0-9]+", found.lower())) - {""} if found else frozenset())
                 run += 1
-                stack.append((tag, len(tags) - 1))
+                push(tag, len(tags) - 1)
             else:
                 inside[stack[-1][1]] += 1
-                stack.append((tag, stack[-1][1]))
+                push(tag, stack[-1][1])
                 links += tag == "a"
                 hidden += tag in SKIP
-    text(html[at:])
+    text(html[at:].partition("<!--")[0])
     return Page(tags, parents, names, chunks, inside)
 
 
