@@ -4,6 +4,7 @@ column, empty and very long texts, repeated rows, empty tables, clashing columns
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -131,6 +132,85 @@ def test_redaction_covers_every_span(spark):
     assert got == ["01[SECRET]67[SECRET]", "abc", "[SECRET]def"]
 
 
+def test_many_matches_in_one_text(spark):
+    rng = np.random.default_rng(1)
+    text = "é" + "".join(f"{x:016x} " for x in rng.integers(1 << 59, 1 << 60, 100_000)) + "AKIA" + "B" * 20 + " tail"
+    started = time.time()
+    (row,) = secrets.find_secrets(table(spark, [(1, text)])).select(
+        F.size("spans").alias("n"), secrets.redact(F.col("text"), F.col("spans")).alias("clean"), F.element_at("spans", -1)["start"].alias("last"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("held")).collect()
+    assert row.n == 100_001 and row.held == 1_600_024 and row.last == len(text) - 29
+    assert row.clean == "é" + "[SECRET] " * 100_001 + "tail"
+    assert time.time() - started < 60    # 0.6 MB took half a minute when arrays were copied at every match
+
+
+def test_redaction_matches_brute_force(spark):
+    rng, rows, want = np.random.default_rng(2), [], []
+    for n in range(120):
+        text = "".join(rng.choice(list("aé漢😀\n"), rng.integers(0, 7000 if n % 10 == 0 else 60)))
+        cuts = sorted((int(a), 0, int(min(a + rng.integers(1, 9), len(text))), "k") for a in rng.integers(0, max(len(text), 1), rng.integers(0, 9)) if a < len(text))
+        hidden = set(x for a, _, b, _ in cuts for x in range(a, b))
+        out, at = "", 0
+        while at < len(text):
+            if at in hidden:
+                out += "[SECRET]"
+                while at in hidden:
+                    at += 1
+            else:
+                out += text[at]
+                at += 1
+        rows.append((n, text, cuts))
+        want.append((n, out))
+    df = spark.createDataFrame(rows, "n int, text string, spans array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
+    got = df.select("n", secrets.redact(F.col("text"), F.col("spans")).alias("x")).collect()
+    assert sorted((r.n, r.x) for r in got) == want
+
+
+def test_literals_are_derived_from_the_pattern():
+    branches = secrets.literal_branches
+    assert sorted(map(tuple, branches(r"(?i:password|api_?key)=x+y"))) == [("api_key=", "x", "y"), ("apikey=", "x", "y"), ("password=", "x", "y")]
+    assert branches(r"abc[0-9a-f]+def") == [["abc", "def"]]
+    assert sorted(map(tuple, branches(r"gh[po]_\w{36,}"))) == [("gho_",), ("ghp_",)]
+    assert branches(r"a(?:bc)*d.e") == [["a", "d", "e"]] and branches(r"^x{3}$") == [["xxx"]]
+    assert secrets.trigram_query(secrets.Rule("k", r"ab|cdef")) == []        # one branch has none: a full scan
+    assert secrets.trigram_query(secrets.Rule("k", r"(?i)ABCd")) == [frozenset({"abc", "bcd"})]
+    # whatever a pattern matches holds one branch's literals
+    rng = np.random.default_rng(4)
+    for rule in (*secrets.BASE_RULES, *secrets.MORE_RULES, secrets.Rule("k", r"(?:foo|bar){2}baz?[xy]q"), secrets.Rule("k", r"a(b|c)+d{2,3}e*fgh")):
+        fold = secrets.ignores_case(rule.pattern)
+        clauses = secrets.trigram_query(rule)
+        for _ in range(60):
+            text = sample(rule.pattern, rng)
+            assert re.fullmatch(rule.pattern, text), (rule.pattern, text)
+            low = text.lower() if fold else text
+            assert not clauses or any(all(g in low for g in c) for c in clauses), (rule.pattern, text)
+
+
+def sample(pattern, rng):
+    """A random text that the pattern matches."""
+    from re import _constants as ops, _parser
+
+    def make(items, fold):
+        out = ""
+        for op, arg in items:
+            if op is ops.LITERAL:
+                c = chr(arg)
+                out += c.swapcase() if fold and rng.random() < .5 else c
+            elif op is ops.IN:
+                kind, x = arg[rng.integers(len(arg))]
+                out += chr(x) if kind is ops.LITERAL else chr(rng.integers(x[0], x[1] + 1)) if kind is ops.RANGE else " "
+            elif op is ops.SUBPATTERN:
+                out += make(arg[-1], fold or bool(arg[1] & re.IGNORECASE))
+            elif op is ops.BRANCH:
+                out += make(arg[1][rng.integers(len(arg[1]))], fold)
+            elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT):
+                least, most, inner = arg
+                out += "".join(make(inner, fold) for _ in range(least + int(rng.integers(0, min(3, int(most) - least) + 1))))
+        return out
+
+    return make(_parser.parse(pattern), False)
+
+
 def test_trigram_queries_are_necessary():
     for rule in secrets.BASE_RULES + secrets.MORE_RULES:
         for clause in secrets.trigram_query(rule):
@@ -344,6 +424,26 @@ def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch):
     assert {(r.class_id, r.n_links, r.n_texts) for r in got} == {(0, 39, 39)}
 
 
+def test_ids_with_several_texts_and_rows_without_id(spark):
+    a, b, c = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    for rows, want in (([(1, a), (2, a), (2, b), (3, c)], [(1, a), (2, b), (3, c)]),
+                       ([(1, a), (2, a), (1, b), (3, c)], [(1, a), (1, b), (3, c)]),
+                       ([(None, a), (None, a), (None, b), (5, a + " x"), (6, ""), (6, ""), (None, None)],
+                        [(None, b), (5, a + " x"), (6, ""), (6, ""), (None, None)]),
+                       ([(None, a), (None, a + " x"), (7, b), (7, b)], [(None, min(a, a + " x", key=lambda t: hashlib.md5(t.encode()).hexdigest())), (7, b)])):
+        got = jaccard.keep_first(table(spark, rows)).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
+    assert jaccard.keep_first(table(spark, [])).count() == 0
+
+
+def test_rows_of_one_id_meet_only_their_own_text(spark):
+    rows = [(None, " ".join(f"w{k % 700}_{j}" for j in range(30))) for k in range(3000)]
+    got = jaccard.join_near(table(spark, rows))
+    assert {(r.class_id, r.n_links, r.n_texts, r["count"]) for r in got.groupBy("class_id", "n_links", "n_texts").count().collect()} == {
+        (None, 4, 0, sum(1 for k in range(3000) if k % 700 < 200)),
+        (None, 3, 0, sum(1 for k in range(3000) if k % 700 >= 200))}
+
+
 def test_pruning_bound():
     least = jaccard.least_matches(0.8, 1e-7)
     assert list(least) == list(range(16, 161, 16)) and all(least[n] < 0.8 * n for n in least)
@@ -374,6 +474,28 @@ def test_top_k_of_few_and_uneven_vectors(spark):
     assert got == [(0, 1, 1, 1024 * 1024), (0, 2, 2, 0)]
 
 
+def test_top_k_of_large_components_and_wide_vectors(spark, monkeypatch):
+    rows = [(0, [1.0, 0.0]), (1, [3e9, 0.0]), (2, [2e9, 0.0]), (100, [1e30, -1e30]), (3, [1e38, 1e22]), (4, [-1e38, 5.0]),
+            (200, [-1e300, 2.0]), (5, [1e300, 1.0]), (6, [1e299, 1.0]), (7, [0.5 + 2.0 ** 40, 3.25]), (8, [1e307, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [math.floor(x * 1024) for x in v] for i, v in rows if all(math.isfinite(x * 1024) for x in v)}
+    want = []
+    for qi in (0, 100, 200):
+        scores = sorted((-sum(a * b for a, b in zip(ints[qi], v)), i) for i, v in ints.items() if i != qi)[:10]
+        want += [(qi, n + 1, i, max(-2 ** 63, min(2 ** 63 - 1, -s))) for n, (s, i) in enumerate(scores)]
+    for block in (100, 2):
+        got = bit_topk.top_k(df, block_rows=block).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+    assert (0, 1, 5, 2 ** 63 - 1) in want and 8 not in ints
+    rng = np.random.default_rng(3)
+    wide = rng.normal(size=(60, 3000))
+    monkeypatch.setattr(bit_topk, "BLOCK_BYTES", 8 * 3000 * 7)      # seven rows a block
+    got = bit_topk.top_k(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(wide)], "vec_id long, embedding array<double>")).collect()
+    ints = np.floor(wide * 1024).astype(np.int64)
+    scores = sorted((-int(ints[0] @ ints[k]), k) for k in range(1, 60))[:10]
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(n + 1, k, -s) for n, (s, k) in enumerate(scores)]
+
+
 HEAD = "<html><head><title>t</title><script>var a='</p>'</script></head><body>"
 
 
@@ -419,6 +541,24 @@ def test_broken_markup():
     assert got == ["hi", "a & b\n\nc d", "plain", "x\n\ny", "a\n\nb\n\nc", "a bc\n\nd", "", "", "q", "deep"]
 
 
+def test_hostile_pages_take_linear_time():
+    started = time.time()
+    mega = 1_000_000
+    for page_ in ('<p title="x>a</p> ' * (mega // 18), "<p title='x>" + '<p title="' * (mega // 10), "<a" * (mega // 2), "</a" * (mega // 3),
+                  '<p a="b' * (mega // 7), "<" * mega, "<div>" * 20_000 + "</x></b>" * 20_000 + "deep", "<div><b>" * 20_000 + "</i></b></q>" * 20_000,
+                  "<p>" + "<b>" * 40_000 + "</i>" * 40_000, "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, "<head>" + "<template>" * 20_000 + " x" * 20_000,
+                  "<li>" * 40_000, "<table>" + "<td>" * 40_000, "<!-- " * (mega // 5), "<script>" * 50_000, "&amp" * (mega // 4)):
+        main_text.parse(page_)
+    assert main_text.extract_many(["<div>" * 20_000 + "</x></b>" * 20_000 + "deep"], None) == ["deep"]
+    assert time.time() - started < 60
+
+
+def test_a_less_than_sign_in_running_text_stays():
+    got = main_text.extract_many(["<p>if a <b and c</p><p>d", "<p>x < y</p>", "<p title='>'>q</p>", '<p title="a<b">r</p>', "<p title=\"it's\">s</p>",
+                                  "<p>1 <2 <!-- no -->3", "a<!-- x > y", "<p>t <b", "<p class=\"x>u</p><p>v"], None)
+    assert got == ["if a <b and c\n\nd", "x < y", "q", "r", "s", "1 <2 3", "a", "t <b", "u\n\nv"]
+
+
 def test_a_head_without_end_tag_ends_at_the_body():
     head = "<!doctype html><html><head><meta charset=utf-8><title>t</title><style>s</style>"
     got = main_text.extract_many([head + s for s in (
