@@ -28,18 +28,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: that of smallest id.  Rows
-    that repeat the kept id keep one row; rows without an id stay."""
+    """One document of each class of near duplicates, its first by id and then by text.
+    A class's other rows go by id and text, so another text under the same id stays."""
     checkpoint_dir(spark)
-    near = jaccard.join_near(docs)
-    gone = near.where("n_links > 0 and class_id is not null and doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    heads = near.where("n_links > 0 and doc_id = class_id").select(F.col("doc_id").alias("head")).distinct()
-    kept = kept.join(heads, F.col("doc_id") == F.col("head"), "left")
-    # a row number only for rows of kept heads, whose id may repeat: few rows each
-    first = kept.where("head is not null").groupBy("head").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-    first = first.select(F.col("head").alias("doc_id"), "r.text", "r.lang", "r.source", "r.n_chars")
-    return kept.where("head is null").select(*COLUMNS).unionByName(first)
+    return jaccard.keep_first(docs.select(*COLUMNS))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
