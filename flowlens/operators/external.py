@@ -59,7 +59,8 @@ def emi(ct: DataFrame, group=(), written: bool = False) -> DataFrame:
     side).  Each (a, b) expands to the admissible n_ij range clipped to
     mean +- (12 sigma + 40): outside it the hypergeometric mass is far below
     1e-16 of the sum, so the result equals the full sum in double precision
-    while the term count stays O(sqrt(N)) per pair instead of O(N).
+    while the term count stays O(sqrt(N)) per pair instead of O(N).  Groups with the
+    same margins (shuffles of one labelling, say) are summed once.
     """
     if not written:
         ct = materialize(ct)
@@ -70,8 +71,14 @@ def emi(ct: DataFrame, group=(), written: bool = False) -> DataFrame:
          .withColumnRenamed("m", "a"))
     b = (_marginals(ct, g, "v").groupBy(*g, "m").agg(F.count(F.lit(1)).alias("kb"))
          .withColumnRenamed("m", "b"))
+    # Tables that share both margins share the sum: it is worked out for one of them.
+    margin = lambda t, m, k: F.md5(F.to_json(F.sort_array(F.collect_list(F.struct(m, k)))))
+    ka = a.groupBy(*g).agg(margin(a, "a", "ka").alias("u_margin"))
+    kb = b.groupBy(*g).agg(margin(b, "b", "kb").alias("v_margin"))
+    margins = materialize(ka.join(kb, g))
+    first = margins.groupBy("u_margin", "v_margin").agg(F.min(F.struct(*g)).alias("first")).select("u_margin", "v_margin", "first.*")
     # Equi-join of two small aggregated tables on the group key.
-    ab = a.join(b, g, "inner").join(tot, g, "inner")
+    ab = a.join(first, g).join(b, g, "inner").join(tot, g, "inner")
     ad, bd, N = F.col("a").cast("double"), F.col("b").cast("double"), F.col("N")
     mu = ad * bd / N
     sigma = F.sqrt(F.greatest(ad * bd * (N - ad) * (N - bd) / (N * N * F.greatest(N - 1, F.lit(1.0))),
@@ -84,8 +91,8 @@ def emi(ct: DataFrame, group=(), written: bool = False) -> DataFrame:
            - log_factorial(N) - log_factorial(nij) - log_factorial(ad - nij) - log_factorial(bd - nij)
            - log_factorial(N - ad - bd + nij))
     term = (nij / N) * (F.log(N) + F.log(nij) - F.log(ad) - F.log(bd)) * F.exp(gln)
-    s = ex.groupBy(*g).agg(F.sum(term * F.col("ka") * F.col("kb")).alias("emi"))
-    out = tot.join(s, g, "left").select(
+    s = ex.groupBy("u_margin", "v_margin").agg(F.sum(term * F.col("ka") * F.col("kb")).alias("emi"))
+    out = tot.join(margins, g, "left").join(s, ["u_margin", "v_margin"], "left").select(
         *g, F.when((F.col("R") == 1) | (F.col("C") == 1), F.lit(0.0))
         .otherwise(F.coalesce("emi", F.lit(0.0))).alias("emi"))
     return _ungrouped(out, group)
@@ -160,7 +167,11 @@ def cluster_size_stats(df: DataFrame, pred: str, group=()) -> DataFrame:
     """min, 1st percentile (linear), #<10, #<50, max of cluster sizes, noise
     excluded (EVA-9).  Groups whose points are all noise are absent here and
     reported as zeros by the caller (``with_size_defaults``)."""
-    sizes = (df.where(F.col(pred) != -1).groupBy(*group, pred).agg(F.count(F.lit(1)).alias("sz")))
+    return size_stats(df.where(F.col(pred) != -1).groupBy(*group, pred).agg(F.count(F.lit(1)).alias("sz")), group)
+
+
+def size_stats(sizes: DataFrame, group=()) -> DataFrame:
+    """``cluster_size_stats`` from each cluster's size ``sz``."""
     return sizes.groupBy(*group).agg(
         F.min("sz").alias("min_size"),
         F.percentile(F.col("sz").cast("double"), 0.01).alias("p1_size"),
@@ -230,8 +241,10 @@ def permutation_test(df: DataFrame, truth: str, pred: str, replicates: int = 199
 
     reps = spark.range(1, replicates + 1, numPartitions=min(replicates, 64)).withColumnRenamed("id", "rep")
     sim = written(reps.mapInPandas(draw, "rep long, u string, v string, n bigint"), "replicates")
-    obs = scores_from_contingency(ct).first()
-    perm = scores_from_contingency(sim, ["rep"])
+    # the observed table is replicate 0: all share their margins, hence one EMI
+    every = scores_from_contingency(ct.withColumn("rep", F.lit(0).cast("long")).unionByName(sim), ["rep"])
+    every = written(every.select("rep", *metrics), "permuted")
+    obs, perm = every.where("rep = 0").first(), every.where("rep > 0")
     agg = perm.agg(*[F.sum(F.when(F.col(m) >= F.lit(obs[m]) - 1e-12, 1).otherwise(0)).alias(m) for m in metrics]
                    ).first()
     out = [(m, float(obs[m]), (1.0 + agg[m]) / (replicates + 1.0), replicates) for m in metrics]

@@ -323,3 +323,12 @@ def q_dbscan_sweep(spark, sf_dir):
     from flowlens.plans.exploratory import dbscan_sweep
     _, _, z = _embedded(spark, sf_dir, keep=("flow_id", "type", "label"))
     return dbscan_sweep(z, min_samples=(10, 20, 30), silhouette_n=5000)
+
+
+@query("hierarchical_sweep")
+def q_hierarchical_sweep(spark, sf_dir):
+    """3 linkages x 5 cuts on the flow embedding's connected neighbour graph, one metric
+    row each (CLU-14, EVA-1..10)."""
+    from flowlens.plans.exploratory import hierarchical_sweep
+    _, _, z = _embedded(spark, sf_dir, keep=("flow_id", "type", "label"))
+    return hierarchical_sweep(z, silhouette_n=5000)

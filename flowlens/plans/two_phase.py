@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.operators import classify, external, kmeans, profile, reduce, reports, splits
-from flowlens.sources.io import require_columns, write_csv, write_parquet
+from flowlens.sources.io import read_flows, require_columns, write_csv, write_parquet
 
 
 def unsupervised(df: DataFrame, k: int = 30, n_components: int = 50, n_init: int = 10, seed: int = 42,
@@ -80,10 +80,9 @@ def supervised(art: DataFrame, targets=("cluster_kmeans30", "type", "label"), id
     }
 
 
-def run(spark, source: str, out_dir: str, k: int = 30, n_init: int = 10, num_trees: int = 150) -> None:
-    from flowlens.sources.io import read_table
-    df = read_table(spark, source)
-    art, _, _ = unsupervised(df, k=k, n_init=n_init)
+def run(spark, source: str, out_dir: str, k: int = 30, n_init: int = 10, num_trees: int = 150, n_components: int = 50) -> None:
+    df = read_flows(spark, source)
+    art, _, _ = unsupervised(df, k=k, n_init=n_init, n_components=n_components)
     write_parquet(art, f"{out_dir}/artifact.parquet", partition_by="split")
     art = spark.read.parquet(f"{out_dir}/artifact.parquet")
     write_csv(external_by_split(art), f"{out_dir}/metricas_externas_clusters_k30")
