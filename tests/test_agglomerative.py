@@ -87,3 +87,18 @@ def test_a_graph_of_more_components_than_clusters_is_no_cut(spark):
     assert agglomerative.cut(pts, "id", merges, 3).select("cluster").distinct().count() == 3
     with pytest.raises(ValueError, match="3 components"):
         agglomerative.cut(pts, "id", merges, 2)
+
+
+def test_contracted_graphs_go_on_in_one_task_alike(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 3)) + rng.integers(0, 3, (80, 1)) * 4
+    pts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    near = np.argsort(((x[:, None] - x[None]) ** 2).sum(axis=2), axis=1)[:, 1:7]
+    edges = spark.createDataFrame([(i, int(j)) for i in range(80) for j in near[i]], "i long, j long")
+    # whole graphs by Spark's rounds, from the middle on in a task, and in a task from the start
+    got = []
+    for limit in (0, 9_000, None):
+        rows = agglomerative.dendrograms(pts, "vec", "id", edges, finished=limit).collect()
+        got.append(sorted((r.linkage, r["round"], r.a, r.b, round(r.h, 9), round(r.hmono, 9), r.n) for r in rows))
+    assert got[0] == got[1] == got[2]
+    assert {r[0] for r in got[0]} == set(agglomerative.LINKAGES) and max(r[1] for r in got[0]) > 4
