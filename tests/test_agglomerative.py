@@ -102,3 +102,13 @@ def test_contracted_graphs_go_on_in_one_task_alike(spark):
         got.append(sorted((r.linkage, r["round"], r.a, r.b, round(r.h, 9), round(r.hmono, 9), r.n) for r in rows))
     assert got[0] == got[1] == got[2]
     assert {r[0] for r in got[0]} == set(agglomerative.LINKAGES) and max(r[1] for r in got[0]) > 4
+
+
+def test_rows_of_the_same_key_are_one_point(spark):
+    rows = [(i, [float(i * i)]) for i in range(12)]
+    once = spark.createDataFrame(rows, "id long, vec array<double>")
+    twice = spark.createDataFrame(rows + rows[:7], "id long, vec array<double>")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(11)], "i long, j long")
+    for limit in (0, None):
+        got = [sorted(map(tuple, agglomerative.agglomerative(p, "vec", "id", edges, "ward", 2, finished=limit).collect())) for p in (once, twice)]
+        assert got[0] == got[1] and len(got[0]) == 12
