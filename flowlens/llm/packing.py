@@ -44,6 +44,13 @@ LOOSE_SPACE = re.compile(r"\s\s|\A | \Z")
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def splits_at_spaces(text: str) -> bool:
+    """Whether every space stands alone between words: the lengths of the words tell for
+    most texts, without a look at every character."""
+    words = text.split()
+    return sum(map(len, words)) + len(words) - 1 == len(text) or not LOOSE_SPACE.search(text)
+
+
 class Costs(NamedTuple):
     window: int = 1024
     sequence_cost: int = 16
@@ -57,11 +64,13 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, costs: Costs) -> list[int
     """Indices into ``places`` of the cuts of least cost, last one included.
     ``places``: ascending from 0, neighbours at most ``window`` apart."""
     w = costs.window
-    exact: dict[int, list[int]] = {}
+    to, at = [], []         # transitions of power-of-two length, by their end
     for k in range(w.bit_length()):
-        at = np.searchsorted(places, places - (1 << k))
-        for j in np.flatnonzero((places[at] == places - (1 << k)) & (places >= 1 << k)).tolist():
-            exact.setdefault(j, []).append(int(at[j]))
+        i = np.searchsorted(places, places - (1 << k))
+        to.append(np.flatnonzero((places[i] == places - (1 << k)) & (places >= 1 << k)))
+        at.append(i[to[-1]])
+    to, at = np.concatenate(to), np.concatenate(at)
+    exact, first = at[np.argsort(to, kind="stable")].tolist(), np.cumsum(np.bincount(to + 1, minlength=len(places) + 1)).tolist()
     b, pen = places.tolist(), penalty.tolist()
     f, came = [0] * len(b), [0] * len(b)
     queue = deque([0])
@@ -72,7 +81,7 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, costs: Costs) -> list[int
             queue.popleft()
         i = queue[0]
         best = key[i] + w - here
-        for i2 in exact.get(j, ()):
+        for i2 in exact[first[j]:first[j + 1]]:
             if f[i2] < best:
                 best, i = f[i2], i2
         best += costs.sequence_cost + pen[j]
@@ -137,7 +146,7 @@ class Tokens:
         return [known[k] for k in keys]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        units = [t.split(" ") if not LOOSE_SPACE.search(t) else CUT.split(t) for t in texts]
+        units = [t.split(" ") if splits_at_spaces(t) else CUT.split(t) for t in texts]
         heads = self.whole([u[0] for u in units])
         got = self.cache.values([x for u in units for x in u[1:]])
         out, at = [], 0

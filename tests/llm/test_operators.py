@@ -619,3 +619,10 @@ def test_rules_are_filed_under_their_rarest_token():
 
 def test_hash_of_spans_is_plain_sha256():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_splits_at_spaces_tells_what_the_pattern_does():
+    import itertools
+    for n in range(6):
+        for text in map("".join, itertools.product("a \n ", repeat=n)):
+            assert packing.splits_at_spaces(text) == (not packing.LOOSE_SPACE.search(text))
