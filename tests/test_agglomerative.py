@@ -112,3 +112,61 @@ def test_rows_of_the_same_key_are_one_point(spark):
     for limit in (0, None):
         got = [sorted(map(tuple, agglomerative.agglomerative(p, "vec", "id", edges, "ward", 2, finished=limit).collect())) for p in (once, twice)]
         assert got[0] == got[1] and len(got[0]) == 12
+
+
+def test_no_more_neighbours_than_the_graph_needs(spark, monkeypatch):
+    from flowlens.operators import components
+    rng = np.random.default_rng(21)
+    x = np.concatenate([rng.normal(0, 1, (45, 2)), rng.normal(60, 1, (45, 2))])
+    pts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    asked, knn = [], components.knn
+    monkeypatch.setattr(components, "knn", lambda p, c, key, k, **kw: (asked.append(k), knn(p, c, key, k, **kw))[1])
+    rows, graph = components.connect_until_one(pts, "vec", "id")
+    assert rows == [(30, 2), (50, 1)] and graph.count() == 50 * 90
+    assert asked == [30, 110]
+
+
+def test_known_distances_give_the_same_merges_and_move_no_vectors(spark):
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(60, 3)) + rng.integers(0, 3, (60, 1)) * 4
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    near = np.argsort(d, axis=1)[:, 1:7]
+    pts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    edges = spark.createDataFrame([(i, int(j), float(d[i, j])) for i in range(60) for j in near[i]], "i long, j long, dist double")
+    got = []
+    for limit in (0, None):
+        for dist in ("dist", None):
+            rows = agglomerative.dendrograms(pts, "vec", "id", edges, finished=limit, dist=dist).collect()
+            got.append(sorted((r.linkage, r["round"], r.a, r.b, round(r.h, 9), round(r.hmono, 9), r.n) for r in rows))
+    assert all(g == got[0] for g in got) and {r[0] for r in got[0]} == set(agglomerative.LINKAGES)
+    # a vector may not be read where the distance is known: complete linkage has no centres
+    blind = spark.createDataFrame([(i, [0.0]) for i in range(60)], "id long, vec array<double>")
+    rows = agglomerative.dendrograms(blind, "vec", "id", edges, ("complete",), finished=0, dist="dist").collect()
+    assert sorted(("complete", r["round"], r.a, r.b, round(r.h, 9), round(r.hmono, 9), r.n) for r in rows) == [r for r in got[0] if r[0] == "complete"]
+
+
+def test_cuts_at_several_k_are_the_cuts_at_each(spark):
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(40, 2))
+    pts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    edges = spark.createDataFrame([(i, j) for i in range(40) for j in range(i + 1, 40)], "i long, j long")
+    merges = agglomerative.dendrograms(pts, "vec", "id", edges, ("ward", "average")).cache()
+    configs = [("ward", 3), ("average", 12), ("ward", 40), ("ward", 7), ("average", 1), ("average", 50)]
+    got = {}
+    for r in agglomerative.cuts(pts, "id", merges, configs).collect():
+        got.setdefault(r.config, {})[r.id] = r.cluster
+    for c, (linkage, k) in enumerate(configs):
+        own = sorted((r.hmono, r["round"], r.a, r.b) for r in merges.where(f"linkage = '{linkage}'").collect())
+        label = list(range(40))
+        for *_, a, b in own[:max(0, 40 - k)]:
+            low, high = sorted((label[a], label[b]))
+            label = [low if v == high else v for v in label]
+        assert got[c] == dict(enumerate(label)) and len(set(label)) == min(k, 40)
+
+
+def test_lists_of_several_cells_merge_by_distance_and_key(spark):
+    from flowlens.operators import neighbors
+    lists = spark.createDataFrame([(1, [5, 9], [0.5, 2.0]), (1, [2, 3, 4], [0.5, 1.0, 2.0]), (2, [8], [0.0])],
+                                  "i long, j array<long>, d2 array<double>")
+    rows = neighbors._merge(lists, 4, 2, rows=True).orderBy("i", "rank").collect()
+    assert [tuple(r) for r in rows] == [(1, 2, 0.5, 1), (1, 5, 0.5, 2), (1, 3, 1.0, 3), (1, 4, 2.0, 4), (2, 8, 0.0, 1)]
