@@ -170,3 +170,20 @@ def test_lists_of_several_cells_merge_by_distance_and_key(spark):
                                   "i long, j array<long>, d2 array<double>")
     rows = neighbors._merge(lists, 4, 2, rows=True).orderBy("i", "rank").collect()
     assert [tuple(r) for r in rows] == [(1, 2, 0.5, 1), (1, 5, 0.5, 2), (1, 3, 1.0, 3), (1, 4, 2.0, 4), (2, 8, 0.0, 1)]
+
+
+def test_small_ks_share_a_search_unless_keys_repeat(spark, monkeypatch):
+    from flowlens.operators import components
+    rng = np.random.default_rng(24)
+    x = [[float(v) for v in r] for r in np.concatenate([rng.normal(0, 1, (45, 2)), rng.normal(60, 1, (45, 2))])]
+    asked, knn = [], components.knn
+    monkeypatch.setattr(components, "knn", lambda p, c, key, k, **kw: (asked.append(k), knn(p, c, key, k, **kw))[1])
+    pts = spark.createDataFrame(list(enumerate(x)), "id long, vec array<double>")
+    rows, _ = components.connect_until_one(pts, "vec", "id", (1, 2, 8, 30, 50))
+    assert [k for k, _ in rows] == [1, 2, 8, 30, 50] and rows[-1][1] == 1 and asked == [30, 50]
+    alone = [components.connect_until_one(pts, "vec", "id", (k,))[0][0] for k in (1, 2, 8)]
+    assert rows[:3] == alone
+    del asked[:]
+    twice = pts.unionByName(pts.where("id < 3"))
+    assert components.connect_until_one(twice, "vec", "id", (1, 2))[0][0] == components.connect_until_one(twice, "vec", "id", (1,))[0][0]
+    assert asked[0] == 1
